@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ def parts(spark: SparkSession) -> int:
 
 
 class Packed:
-    """Records of one numpy dtype, cut by bucket into blobs: rows (bucket int, blob binary)."""
+    """Records with a uint64 `key`, cut by bucket into blobs of another dtype: rows (bucket int, blob binary)."""
 
-    def __init__(self, dtype: np.dtype, buckets: int, flush: int = 1 << 21):
-        self.dtype, self.buckets, self.flush = dtype, buckets, flush
+    def __init__(self, buckets: int, wire: Callable[[np.ndarray], np.ndarray] = lambda r: r, flush: int = 1 << 21):
+        self.wire, self.buckets, self.flush = wire, buckets, flush
         self.held: list[np.ndarray] = []
         self.size = 0
 
@@ -54,7 +54,7 @@ class Packed:
         self.held, self.size = [], 0
         bucket = (records["key"] % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        records, bucket = records[order], bucket[order]
+        records, bucket = self.wire(records[order]), bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts = np.concatenate([[0], cuts])
         blobs = [x.tobytes() for x in np.split(records, cuts)]
@@ -77,9 +77,3 @@ def records(batches: Iterable[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
     """All records of a partition."""
     blobs = [np.frombuffer(x.as_buffer(), dtype=dtype) for b in batches for x in b.column(1)]
     return np.concatenate(blobs) if blobs else np.zeros(0, dtype=dtype)
-
-
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-    )

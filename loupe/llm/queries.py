@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, packing, pii, quality, sharding, suffix_dedup, token_shards, toxicity
+from . import decontam, jaccard, matroska, packing, pii, quality, sharding, suffix_dedup, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = matroska.containers(_table(spark, sf_dir, "documents"))
+    return matroska.packet_table(media, "doc_id", "container")
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.materialise(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_shard": op6_shard,
+    "op7_matroska": op7_matroska,
     "op8_token_shards": op8_token_shards,
     "op9_pack": op9_pack,
     "op10_quality": op10_quality,

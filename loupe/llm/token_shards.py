@@ -39,8 +39,8 @@ SEQ_LEN = 1024
 SHARD_SEQUENCES = 4096
 KEY = 0x5EED
 ROUNDS = 6
-SLICE_BYTES = 4 << 20
-CACHE_PIECES = 1 << 20
+SLICE_BYTES = 1 << 20
+CACHE_PIECES = 1 << 17
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _SPACES = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}

@@ -34,15 +34,17 @@ from .exchange import PACKED, Packed, by_bucket, parts, records, written
 
 N = 3
 THRESHOLD = 0.6
-MAX_MATCHES = 6
+MAX_MATCHES = 8
 HEAVY_SHARE = 0.0005
 LOCAL_LEAST = 3
-VERIFY_COST = 8.0
+VERIFY_COST = 50.0
+RARE_PARTNERS = 0.2
+SIZE_STEP = 1.05
 BLOCK_SETS = 1024
 
-_POSTING = np.dtype([("key", "u8"), ("set", "u8"), ("l", "u1")])
+_POSTING = np.dtype([("key", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 #: 40 bits of the gram are sent; grams that agree in them can only add candidates.
-_SENT = np.dtype([("low", "u4"), ("high", "u1"), ("set", "u8"), ("l", "u1")])
+_SENT = np.dtype([("low", "u4"), ("high", "u1"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 _GRAM_BITS = np.uint64(52)
 
 
@@ -50,7 +52,7 @@ def _sent(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), _SENT)
     g = r["key"] >> np.uint64(12)
     out["low"], out["high"] = g & np.uint64(0xFFFFFFFF), g >> np.uint64(32)
-    out["set"], out["l"] = r["set"], r["l"]
+    out["set"], out["l"], out["size"] = r["set"], r["l"], r["size"]
     return out
 
 
@@ -164,8 +166,8 @@ def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: n
         grams, estimate = grams[order], estimate[order]
     need = np.ceil(t * size - 1e-9).astype(np.int64)
     base = size - need  # the l-prefix has base + l grams
-    # estimated lists of frequent grams are what others' prefixes read too; rare ones cost next to nothing
-    sums = np.concatenate([[0.0], np.cumsum(np.where(estimate > 1, estimate, 0.01))])
+    # a frequent gram's list is as long as counted; that of any other has few others on average
+    sums = np.concatenate([[0.0], np.cumsum(np.where(estimate > 1, estimate, RARE_PARTNERS))])
     ls = np.arange(1, most + 1)
     ends = offsets[:-1, None] + np.minimum(base[:, None] + ls, size[:, None])
     cost = sums[ends] - sums[offsets[:-1], None]
@@ -187,14 +189,16 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
             for _, _, grams, off in gram_sets(X.as_array(b.column(0)), n):
                 g, owner, chosen = prefixes(grams, off, *heavy, t, most)
                 r = np.zeros(len(g), _POSTING)
-                r["key"], r["set"], r["l"] = g, set_hash(grams, off)[owner], chosen[owner]
+                step = np.minimum(np.log(np.maximum(np.diff(off), 1)) / np.log(SIZE_STEP), 255).astype(np.uint8)
+                r["key"], r["set"], r["l"], r["size"] = g, set_hash(grams, off)[owner], chosen[owner], step[owner]
                 yield from out.add(r)
         yield from out.done()
 
     def pairs(batches):
         sent = records(batches, _SENT)
         r = np.empty(len(sent), _POSTING)
-        r["key"], r["set"], r["l"] = sent["high"].astype("u8") << np.uint64(32) | sent["low"], sent["set"], sent["l"]
+        r["key"] = sent["high"].astype("u8") << np.uint64(32) | sent["low"]
+        r["set"], r["l"], r["size"] = sent["set"], sent["l"], sent["size"]
         del sent
         r = r[np.argsort(r["key"], kind="stable")]
         cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))
@@ -205,7 +209,8 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
             first = np.ones(len(r), bool)
             first[1:] = (r["key"][1:] != r["key"][:-1]) | (r["set"][1:] != r["set"][:-1])
             r = r[first]
-        s, l = r["set"].copy().view(np.int64), r["l"].astype(np.int64)
+        s, l, step = r["set"].copy().view(np.int64), r["l"].astype(np.int64), r["size"].astype(np.int64)
+        apart = int(np.log(1 / t) / np.log(SIZE_STEP)) + 2  # sizes of similar sets differ by fewer steps
         cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))
         ends = np.append(cut[1:], len(r))
         end = np.repeat(ends, ends - cut)
@@ -218,6 +223,8 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
             left = np.repeat(np.arange(a, b), later[a:b])
             right = X.ranges(np.arange(a, b) + 1, later[a:b])
+            fits = (np.abs(step[left] - step[right]) < apart) | (step[left] == 255) | (step[right] == 255)
+            left, right = left[fits], right[fits]
             x = np.empty(len(left), _MATCH)
             x["a"], x["b"] = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
             x["need"], x["c"] = np.minimum(l[left], l[right]), 1
@@ -258,52 +265,49 @@ def _match_batches(x: np.ndarray) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
     """(a, b, jaccard) of the pairs of sets that reach t.
 
-    A pair belongs to the block of its sets' least neighbours; blocks of many pairs are cut
-    into tiles of about BLOCK_SETS by BLOCK_SETS sets, and a set goes once to each tile that
-    needs it.
+    A pair is checked where the least neighbour of `a` is; where that gathers more than
+    BLOCK_SETS sets, the pairs are cut into tiles of about BLOCK_SETS by BLOCK_SETS.  The
+    text of a set goes once to each place that needs it.
     """
+    spark = docs.sparkSession
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = written(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub")), "hubs")
-    keyed = pairs.join(hub, "a").join(hub.select(F.col("a").alias("b"), F.col("hub").alias("hub_b")), "b")
-    keyed = keyed.withColumn("block", F.xxhash64("hub", "hub_b"))
-    tiles = keyed.groupBy("block").agg(
-        *[F.ceil(F.approx_count_distinct(c) / BLOCK_SETS).cast("int").alias(f"tiles_{c}") for c in ("a", "b")]
+    hub = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
+    keyed = pairs.join(hub, "a")
+    tiles = keyed.groupBy("hub").agg(
+        *[F.greatest(F.ceil(F.approx_count_distinct(c) / BLOCK_SETS), F.lit(1)).cast("int").alias(f"tiles_{c}") for c in ("a", "b")]
     )
-    tile = [F.pmod(F.xxhash64(c), F.greatest(f"tiles_{c}", F.lit(1))) for c in ("a", "b")]
-    keyed = keyed.join(tiles, "block").withColumn("tile", F.xxhash64("block", *tile))
+    tile = [F.pmod(F.xxhash64(c), f"tiles_{c}") for c in ("a", "b")]
+    places = 8 * parts(spark)
+    keyed = keyed.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("hub", *tile), F.lit(places)))
     keyed = written(keyed.select("tile", "a", "b"), "tiles")
-    wanted = keyed.select("tile", F.explode(F.array("a", "b")).alias("set")).distinct()
     # one document of each set that is needed, and the tiles that need it
     chosen = (
-        wanted.groupBy("set").agg(F.collect_list("tile").alias("tiles"))
+        keyed.select("tile", F.explode(F.array("a", "b")).alias("set"))
+        .groupBy("set").agg(F.collect_set("tile").alias("tiles"))
         .join(owners.groupBy("set").agg(F.min("rk").alias("rk")), "set")
     )
-
-    def sets(batches):
-        for b in batches:
-            for i, j, grams, off in gram_sets(X.as_array(b.column(1)), n):
-                blobs = [grams[off[k] : off[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(blobs, pa.binary()), b.column(2).slice(i, j - i)], ["set", "grams", "tiles"]
-                )
-
-    texts = (
-        _keyed(docs).select("rk", "text").join(chosen, "rk")
-        .select("set", "text", "tiles").mapInArrow(sets, "set bigint, grams binary, tiles array<bigint>")
-        .select(F.explode("tiles").alias("tile"), F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    )
-    rows = texts.unionByName(keyed.select("tile", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    rows = rows.repartition(parts(docs.sparkSession), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    texts = _keyed(docs).select("rk", "text").join(chosen, "rk")
+    texts = texts.select(F.explode("tiles").alias("tile"), F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.unionByName(keyed.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition(parts(spark), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
 
     def check(batches):
         tile, sets_here = None, {}
-        for b in batches:
+        for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for tl, a, o, g in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+            sets = {}
+            texts = X.as_array(batch.column(3))
+            have = np.flatnonzero(np.asarray(texts.is_valid()))
+            if len(have):
+                mine = texts.take(pa.array(have))
+                for i, j, grams, off in gram_sets(mine, n):
+                    for k in range(i, j):
+                        sets[int(have[k])] = grams[off[k - i] : off[k - i + 1]]
+            for row, (tl, a, o) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 if tl != tile:
                     tile, sets_here = tl, {}
                 if o is None:
-                    sets_here[a] = np.frombuffer(g.as_buffer(), dtype=np.uint64)
+                    sets_here[a] = sets[row]
                     continue
                 x, y = sets_here[a], sets_here[o]
                 if len(x) < t * len(y) - 1e-9 or len(y) < t * len(x) - 1e-9:

@@ -42,15 +42,16 @@ RARE_PARTNERS = 0.2
 SIZE_STEP = 1.05
 BLOCK_SETS = 1024
 
-_POSTING = np.dtype([("key", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
+_POSTING = np.dtype([("key", "u8"), ("gram", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 #: 40 bits of the gram are sent; grams that agree in them can only add candidates.
 _SENT = np.dtype([("low", "u4"), ("high", "u1"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
+_RECEIVED = np.dtype([("key", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 _GRAM_BITS = np.uint64(52)
 
 
 def _sent(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), _SENT)
-    g = r["key"] >> np.uint64(12)
+    g = r["gram"] >> np.uint64(12)
     out["low"], out["high"] = g & np.uint64(0xFFFFFFFF), g >> np.uint64(32)
     out["set"], out["l"], out["size"] = r["set"], r["l"], r["size"]
     return out
@@ -145,6 +146,44 @@ def heavy_grams(table: DataFrame, share: float = HEAVY_SHARE) -> tuple[np.ndarra
     return rows.gram.to_numpy(dtype=np.int64).view(np.uint64), rows.c.to_numpy(dtype=np.int64)
 
 
+def families(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int = N) -> np.ndarray:
+    """A label of each frequent gram, the same for grams that keep company.
+
+    Postings go to buckets by this label, so that the many grams of a large group of copies
+    meet in one place and their pairs are counted there, once, instead of being exchanged
+    for each gram.  The label is the least gram of about the same frequency (by powers of
+    two) in any document with the gram; what it is has no influence on the result.
+    """
+    grams, often = heavy
+    level = np.log2(np.maximum(often, 1)).astype(np.int64)
+    none = np.uint64((1 << 64) - 1)
+
+    def scan(batches):
+        label = np.full(len(grams), none)
+        for b in batches:
+            for i, j, g, off in gram_sets(X.as_array(b.column(0)), n):
+                at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+                hit = np.flatnonzero(grams[at] == g)
+                at, row = at[hit], (np.searchsorted(off, hit, side="right") - 1)
+                key = row * 64 + level[at]
+                by = np.argsort(key, kind="stable")
+                at, key = at[by], key[by]
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                least = np.minimum.reduceat(grams[at], first)
+                np.minimum.at(label, at, np.repeat(least, np.diff(np.append(first, len(at)))))
+        seen = np.flatnonzero(label != none)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(label[seen].astype(np.int64))], ["i", "label"])
+
+    label = grams.copy()
+    if len(grams):
+        # one row for each frequent gram, of which there is a bounded number
+        found = docs.select("text").mapInArrow(scan, "i int, label bigint").groupBy("i").agg(F.min("label").alias("label")).toPandas()
+        label[found.i.to_numpy()] = found.label.to_numpy(dtype=np.int64).view(np.uint64)
+    return label
+
+
 def choose(cost: np.ndarray) -> np.ndarray:
     """The number of matches to demand: row by row, the l of least cost; cost[:, l - 1] is the postings read for l."""
     l = np.arange(1, cost.shape[1] + 1)
@@ -152,18 +191,20 @@ def choose(cost: np.ndarray) -> np.ndarray:
 
 
 def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: np.ndarray, t: float, most: int):
-    """(gram, row, l of the row) of every posting that the rows emit."""
+    """(gram, row, l of each row, index of the gram if it is frequent or -1) of every posting that the rows emit."""
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)
     estimate = np.ones(len(grams))
     rank = np.zeros(len(grams), np.int64)
+    index = np.full(len(grams), -1, np.int64)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
         hit = heavy[at] == grams
         estimate[hit] = often[at[hit]]
         rank[hit] = often[at[hit]]
+        index[hit] = at[hit]
         order = np.lexsort((grams, rank, row))
-        grams, estimate = grams[order], estimate[order]
+        grams, estimate, index = grams[order], estimate[order], index[order]
     need = np.ceil(t * size - 1e-9).astype(np.int64)
     base = size - need  # the l-prefix has base + l grams
     # a frequent gram's list is as long as counted; that of any other has few others on average
@@ -176,27 +217,29 @@ def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: n
     count = np.where(size > 0, base + chosen, 0)
     at = X.ranges(offsets[:-1], count)
     owner = np.repeat(np.arange(len(size)), count)
-    return grams[at], owner, chosen
+    return grams[at], owner, chosen, index[at]
 
 
 def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t: float, most: int) -> DataFrame:
     """(a, b) pairs of sets, a < b, with enough shared prefix grams."""
     buckets = parts(docs.sparkSession)
+    label = families(docs, heavy, n)
 
     def emit(batches):
         out = Packed(buckets, _sent)
         for b in batches:
             for _, _, grams, off in gram_sets(X.as_array(b.column(0)), n):
-                g, owner, chosen = prefixes(grams, off, *heavy, t, most)
+                g, owner, chosen, index = prefixes(grams, off, *heavy, t, most)
                 r = np.zeros(len(g), _POSTING)
                 step = np.minimum(np.log(np.maximum(np.diff(off), 1)) / np.log(SIZE_STEP), 255).astype(np.uint8)
-                r["key"], r["set"], r["l"], r["size"] = g, set_hash(grams, off)[owner], chosen[owner], step[owner]
+                r["key"] = g if not len(label) else np.where(index >= 0, label[index], g)
+                r["gram"], r["set"], r["l"], r["size"] = g, set_hash(grams, off)[owner], chosen[owner], step[owner]
                 yield from out.add(r)
         yield from out.done()
 
     def pairs(batches):
         sent = records(batches, _SENT)
-        r = np.empty(len(sent), _POSTING)
+        r = np.empty(len(sent), _RECEIVED)
         r["key"] = sent["high"].astype("u8") << np.uint64(32) | sent["low"]
         r["set"], r["l"], r["size"] = sent["set"], sent["l"], sent["size"]
         del sent
@@ -218,6 +261,7 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
         # rows are cut where about 2^20 pairs are full, so long lists don't need more memory than short ones
         total = np.cumsum(later)
         held: list[np.ndarray] = []
+        done = np.zeros(0, _MATCH)
         a = 0
         while a < len(r):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
@@ -229,9 +273,11 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
             x["a"], x["b"] = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
             x["need"], x["c"] = np.minimum(l[left], l[right]), 1
             held.append(x)
-            if sum(map(len, held)) > 1 << 21 or b == len(r):
-                yield from _match_batches(_merged(held))
-                held = []
+            if sum(map(len, held)) > 1 << 20 or b == len(r):
+                done, held = _merged([done, *held]), []
+            if len(done) > 1 << 21 or b == len(r):
+                yield from _match_batches(done)
+                done = np.zeros(0, _MATCH)
             a = b
 
     matched = by_bucket(docs.select("text").mapInArrow(emit, PACKED), buckets).mapInArrow(
@@ -253,6 +299,7 @@ def _merged(held: list[np.ndarray]) -> np.ndarray:
     at = np.flatnonzero(first)
     out = x[at].copy()
     out["c"] = np.add.reduceat(x["c"], at)
+    out["need"] = np.minimum.reduceat(x["need"], at)
     return out
 
 

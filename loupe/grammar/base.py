@@ -184,6 +184,9 @@ class Braces:
 
     def tree(self) -> Node:
         self.mark: dict[tuple[int, int], str] = {}
+        for i in range(len(self.t)):
+            self.construct(i)
+        # after the constructs, so that of equal ranges the leaf is inside
         for x in self.all:
             if x.kind == "comment":
                 self.nodes.append(self.comment(x))
@@ -191,8 +194,6 @@ class Braces:
                 n = self.leaf(x)
                 if n is not None:
                     self.nodes.append(n)
-        for i in range(len(self.t)):
-            self.construct(i)
         self.finish()
         for n in self.nodes:
             n.field = self.mark.get((n.start, n.end), n.field)

@@ -277,3 +277,90 @@ def stream_parity(spark, sf_dir):
     from .streaming.run import rewrite_stream
 
     return rewrite_stream(spark, f"{sf_dir}/documents.parquet", Request(upper=True), ["doc_id", "text"])
+
+
+# Grammars: source text is made of columns, so that SQL can say what is in scope
+
+#: Language: (text before the name, between name and type, behind), as parts of SQL and of Spark alike.
+_SOURCES = {
+    "python": ("# ", "\ndef f", "(a: int):\n    \"\"\"doc\"\"\"\n    return 'x'\n"),
+    "c": ("// ", "\nint f", "(int a) { return g(a); }\n"),
+    "go": ("package p\n// ", "\nfunc f", "(a int) int { return a }\n"),
+    "rust": ("// ", "\nfn f", "(a: u8) -> u8 { a }\n"),
+    "typescript": ("// ", "\nfunction f", "(a: number) { return a; }\n"),
+    "csharp": ("// ", "\nclass C { int f", "(int a) { return a; } }\n"),
+    "hcl": ("# ", "\nresource \"t\" \"n", "\" {\n  a = 1\n}\n"),
+}
+
+
+def synthetic(spark, sf_dir, language):
+    """(p_partkey, text): one small source for each part, its brand in a comment and its key in a name."""
+    a, b, c = _SOURCES[language]
+    df = table(spark, sf_dir, "part")
+    return df.select("p_partkey", F.concat(F.lit(a), "p_brand", F.lit(b), F.col("p_partkey").cast("string"), F.lit(c)).alias("text"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _in_scope(spark, sf_dir, language, scoper):
+    view = scoped(synthetic(spark, sf_dir, language)).scope(scoper)
+    return view.fragments("p_partkey").where("in_scope").select("p_partkey", "text")
+
+
+def _comment_mark(language: str) -> str:
+    return _SOURCES[language][0].rsplit("\n", 1)[-1]
+
+
+#: (language, query): what of the source is in scope, as SQL.
+_ITEMS = {
+    **{(x, "comments"): f"{_sql(_comment_mark(x))} || p_brand" for x in _SOURCES},
+    ("python", "strings"): None,
+    ("python", "function-names"): "'f' || p_partkey",
+    ("python", "types"): "'int'",
+    ("python", "doc-strings"): "'doc'",
+    ("c", "function-def"): "'int f' || p_partkey || '(int a) { return g(a); }'",
+    ("c", "call-expression"): "'g(a)'",
+    ("go", "free-func"): "'func f' || p_partkey || '(a int) int { return a }'",
+    ("rust", "fn"): "'fn f' || p_partkey || '(a: u8) -> u8 { a }'",
+    ("typescript", "function"): "'function f' || p_partkey || '(a: number) { return a; }'",
+    ("csharp", "method"): "'int f' || p_partkey || '(int a) { return a; }'",
+    ("hcl", "resource-names"): "'n' || p_partkey",
+}
+
+
+def _register() -> None:
+    for (language, name), sql in _ITEMS.items():
+
+        def run(spark, sf_dir, language=language, name=name):
+            return _in_scope(spark, sf_dir, language, S.Language(language, name))
+
+        run.__name__ = f"lang_{language}_{name.replace('-', '_')}"
+        query(f"SELECT p_partkey, {sql} AS text FROM part" if sql else "SELECT p_partkey, unnest(['doc', 'x']) AS text FROM part")(run)
+
+
+_register()
+
+
+@query("SELECT p_partkey, 'fn f' || p_partkey || '(a: u8) -> u8 { a }' AS text FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '%7'")
+def lang_rust_fn_named(spark, sf_dir):
+    return _in_scope(spark, sf_dir, "rust", S.Language("rust", "fn~7$"))
+
+
+@query("SELECT p_partkey, 'f' || p_partkey AS text FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '1%'")
+def custom_query_names(spark, sf_dir):
+    tree_query = '(function_definition name: (identifier) @name (#match? @name "^f1"))'
+    return _in_scope(spark, sf_dir, "python", S.CustomQuery("python", tree_query))
+
+
+@query("SELECT p_partkey, unnest(['# ' || p_brand, 'doc', 'x']) AS text FROM part")
+def join_scopes(spark, sf_dir):
+    union = S.Union([S.Language("python", "comments"), S.Language("python", "strings")])
+    return _in_scope(spark, sf_dir, "python", union)
+
+
+@query("SELECT p_partkey, 'f' || p_partkey AS text FROM part")
+def intersect_scopes(spark, sf_dir):
+    view = scoped(synthetic(spark, sf_dir, "python")).scope(S.Language("python", "def")).scope(S.Regex("f[0-9]+"))
+    return view.fragments("p_partkey").where("in_scope").select("p_partkey", "text")

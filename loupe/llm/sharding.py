@@ -118,10 +118,10 @@ def splitters(
             if i < len(cuts) and cuts[i] < hi:
                 hi, b = cuts[i], below[i]
             bracket[j] = lo, a, hi, b
-            near, off = min(((lo, goal[j] - a), (hi, b - goal[j])), key=lambda x: x[1])
+            near, off, held = min(((lo, goal[j] - a, a), (hi, b - goal[j], b)), key=lambda x: x[1])
             if off <= slack or hi - lo <= 1:
-                found[j] = near
-    return sorted({x for x in found if first < x < last})
+                found[j] = near if 0 < held < total else first  # no boundary without rows on both sides
+    return sorted({x for x in found if x != first})
 
 
 def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE) -> DataFrame:

@@ -236,7 +236,11 @@ def _windows(stretches: DataFrame, least: int) -> DataFrame:
             for x in chunk:
                 which[k] = seen.setdefault(x.as_py(), len(seen))
                 k += 1
-        by = np.argsort(which, kind="stable")
+        # identical rows are one
+        by = np.lexsort((first, rk, which))
+        new = np.ones(len(by), bool)
+        new[1:] = (which[by][1:] != which[by][:-1]) | (rk[by][1:] != rk[by][:-1]) | (first[by][1:] != first[by][:-1])
+        by = by[new]
         begin = np.searchsorted(which[by], np.arange(len(seen) + 1))
         cls, owner, offset = windows([np.frombuffer(x, np.uint32) for x in seen], least)
         n = np.diff(begin)[owner]

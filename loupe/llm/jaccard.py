@@ -35,7 +35,7 @@ from .exchange import PACKED, Packed, by_bucket, parts, records, written
 N = 3
 THRESHOLD = 0.6
 MAX_MATCHES = 8
-HEAVY_SHARE = 0.0005
+HEAVY_SHARE = 0.0001
 LOCAL_LEAST = 3
 VERIFY_COST = 50.0
 RARE_PARTNERS = 0.2
@@ -247,11 +247,12 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
         cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))
         many = np.diff(np.append(cut, len(r)))
         r = r[np.repeat(many > 1, many)]
+        if not len(r):
+            return
         r = r[np.lexsort((r["set"], r["key"]))]
-        if len(r):
-            first = np.ones(len(r), bool)
-            first[1:] = (r["key"][1:] != r["key"][:-1]) | (r["set"][1:] != r["set"][:-1])
-            r = r[first]
+        first = np.ones(len(r), bool)
+        first[1:] = (r["key"][1:] != r["key"][:-1]) | (r["set"][1:] != r["set"][:-1])
+        r = r[first]
         s, l, step = r["set"].copy().view(np.int64), r["l"].astype(np.int64), r["size"].astype(np.int64)
         apart = int(np.log(1 / t) / np.log(SIZE_STEP)) + 2  # sizes of similar sets differ by fewer steps
         cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))

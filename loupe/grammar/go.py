@@ -39,10 +39,10 @@ class Parser(Braces):
         kind = {"raw": "raw_string_literal", "string": "interpreted_string_literal", "rune": "rune_literal"}.get(x.kind)
         return Node(kind, x.start, x.end) if kind else super().leaf(x)
 
-    def line_end(self, i: int) -> int:
+    def line_end(self, i: int, *stops: str) -> int:
         """Behind the statement that begins at i: the first token on a later line, groups skipped."""
         j = self.skip(i)
-        while j < len(self.t) and not self.is_(j, ";", ")", "}", ","):
+        while j < len(self.t) and not self.is_(j, ";", ")", "}", *stops):
             before = self.t[j - 1]
             if "\n" in self.source[before.end : self.t[j].start] and (
                 before.kind != "punct" or before.text in (")", "]", "}", "++", "--")

@@ -107,7 +107,7 @@ class Parser(Braces):
                 self.nodes.append(Node("comment", x.start, x.end))
         self.body(0, len(self.t))
         self.nodes += self.inner
-        rank = {"block": 0, "body": 1, "attribute": 2, "expression": 3, "get_attr": 5, "variable_expr": 5, "identifier": 6}
+        rank = {"body": 0, "block": 1, "attribute": 2, "expression": 3, "get_attr": 5, "variable_expr": 5, "identifier": 6}
         self.nodes.sort(key=lambda n: rank.get(n.kind, 4))
         return nest(self.nodes, Node(self.ROOT, 0, len(self.source)))
 

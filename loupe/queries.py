@@ -197,7 +197,7 @@ def changed_only(spark, sf_dir):
 @query("SELECT doc_id, count(*) AS n FROM documents WHERE regexp_replace(text, '(?s).', '', 'g') = '' AND len(text) > 0 GROUP BY doc_id")
 def wipe_guard(spark, sf_dir):
     """What the guard would refuse: nonempty texts that a deletion of everything leaves empty."""
-    view = scoped(documents(spark, sf_dir)).scope(S.Regex("(?s).", False)).delete()
+    view = scoped(documents(spark, sf_dir)).scope(S.Regex("(?s).+", False)).delete()
     return view.df.where((view.text() == "") & (F.length("text") > 0)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 

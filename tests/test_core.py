@@ -241,7 +241,7 @@ def test_zip_shortest():
     ("first", "program"),
     [
         ("", None), ("#!", None), ("#!/", None), ("#!/b", "b"), ("#!/bin/bash\r\nx", "bash"), ("#!/usr/bin/env python3\n", "python3"),
-        ("#!/usr/bin/env a b c", "a"), ("#!/usr/bin/env perl -w\n", "perl"), ("python", None), ("/x" * 500, None),
+        ("#!/usr/bin/env a b c", "a"), ("#!/usr/local/bin/env ruby -x\n", "ruby"), ("python", None), ("/x" * 500, None),
     ],
 )
 def test_interpreter(spark, first, program):

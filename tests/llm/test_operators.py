@@ -121,6 +121,28 @@ def test_toxicity_finds_toxic_documents(toxic_world):
     assert not got[2000] and not got[None] and unseen
 
 
+def test_toxicity_finds_words_without_labels(spark):
+    rng = random.Random(5)
+    plain, bad, unseen = [f"w{i}" for i in range(60)], ["vile", "rude", "nasty", "foul"], ["snide", "spiteful"]
+    rows, labels = [], []
+    for i in range(600):
+        text = [rng.choice(plain) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:  # the unseen words are beside seeds, but in no labelled document
+            at = rng.randrange(len(text))
+            text[at:at] = rng.sample(bad, 3) + (rng.sample(unseen, 1) + rng.sample(bad, 1) if i >= 300 else [])
+        rows.append((i, " ".join(text)))
+        if i < 300:
+            labels.append((i, 1, int(toxic)))
+    rows += [(i, " ".join(rng.choice(plain) for _ in range(20)) + " spiteful snide") for i in range(600, 603)]
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    weight = dict(toxicity.lexicon(docs, labels).itertuples(index=False))
+    assert min(weight[w] for w in unseen) >= toxicity.FLOOR > max(weight.get(w, 0) for w in plain)
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert all(got[i].terms == 2 and got[i].score >= 2 * toxicity.FLOOR for i in range(600, 603))
+    assert all(got[i].toxic == (i % 4 == 0) for i in range(600))
+
+
 def test_walk_matches_the_linear_system():
     rng = np.random.default_rng(0)
     a, b = np.array([0, 1, 1, 2, 2, 3, 3, 0]), np.array([1, 0, 2, 1, 3, 2, 0, 3])

@@ -25,7 +25,7 @@ BEFORE, AFTER = 48, 24
 SPANS = "array<struct<kind: string, start: int, end: int, score: double>>"
 
 #: Cheap test in the JVM; every pattern below needs one of these.
-PREFILTER = r"[0-9@]|AKIA|ASIA|(?i:passw|secret|api_?key)"
+PREFILTER = r"[0-9@]|AKIA|ASIA|(?i:passw|secret|api_?key|token)"
 
 
 def luhn(text: str) -> bool:
@@ -105,10 +105,10 @@ RULES: tuple[Rule, ...] = (
         "phone call tel telephone mobile cell fax whatsapp telefon teléfono téléphone", _NUMBERS,
     ),
     _rule("KEY", r"A(?<![A-Z0-9]A)(?:KIA|SIA)[A-Z0-9]{16}(?![A-Z0-9])", None, 0.95, ""),
-    _rule("SECRET", r"(?i)\b(?:password|passwd|secret|api_?key)\s?[=:]\s?[\"']?([^\s\"']{8,})", None, 0.7, ""),
+    _rule("SECRET", r"(?i)(?<![^\W_])(?:password|passwd|secret|api_?key|(?:access|auth|api|bearer|id|refresh|session)?token)\s?[=:]\s?[\"']?([^\s\"']{8,})", None, 0.7, ""),
 )
 
-_DIGITS, _AT, _NAMES = re.compile(r"\d+"), re.compile("@"), re.compile(r"(?i)passw|secret|api_?key")
+_DIGITS, _AT, _NAMES = re.compile(r"\d+"), re.compile("@"), re.compile(r"(?i)passw|secret|api_?key|token")
 
 
 def _windows(trigger: re.Pattern, before: int, after: int, text: str) -> list[tuple[int, int]]:

@@ -255,6 +255,17 @@ def test_spans_by_context(text, kinds):
     assert [s[0] for s in pii.spans(text)] == kinds
 
 
+def test_tokens_are_secrets(spark):
+    value = "deadbeefcafe" * 3 + "dead"
+    for name in ("token", "TOKEN", "access_token", "auth_token", "accessToken", "x-auth-token", "client_secret"):
+        text = f'set {name} = "{value}" here'
+        assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [("SECRET", value)]
+    assert pii.spans("a tokenizer = something long") == [] == pii.spans("nottoken = abcdefghij")
+    planted = frame(spark, [(1, f'token = "{"abcdef" * 7}"')])  # neither digits nor @
+    assert [r.kind for r in pii.find(planted).collect()] == ["SECRET"]
+    assert pii.redact(planted).first().text == 'token = "<SECRET>"'
+
+
 def test_windows_change_nothing(monkeypatch):
     rng = random.Random(2)
     pieces = ["a.b@c.de", "4111111111111111", "10.2.3.4", "+49 30 1234567", "DE89370400440532013000", "x" * 200, "word", "phone", "\n", "@", "12"]

@@ -2,7 +2,8 @@
 
 Spans are half-open ranges of characters (code points).  A card number must pass Luhn,
 an IBAN mod-97 with its country's length, an IPv4 address must have octets up to 255;
-proposals that fail are dropped whatever their context.  Of overlapping spans the one
+proposals that fail are dropped whatever their context.  Cards and IBANs are tried at every
+start, with every length that ends where a group does.  Of overlapping spans the one
 with the higher score stays, then the longer, then the earlier.
 
 Defined results: null and empty texts have no spans and stay as they are; texts of any
@@ -78,11 +79,11 @@ RULES: tuple[Rule, ...] = (
         None, 0.9, "mail email contact write reach e-mail correo courriel",
     ),
     _rule(
-        "CARD", r"(?<![\w.-])(?<!\d )\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)", luhn, 0.75,
+        "CARD", r"(?<![\w.-])(?=(\d(?:[ -]?\d){12,18}))", luhn, 0.75,
         "card visa mastercard amex credit debit payment cc cvv karte tarjeta carte", _NUMBERS,
     ),
     _rule(
-        "IBAN", r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}(?!\w)", mod97, 0.9,
+        "IBAN", r"(?<!\w)(?=([A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}))", mod97, 0.9,
         "iban account bank konto transfer bic swift compte cuenta",
     ),
     _rule(
@@ -108,6 +109,21 @@ RULES: tuple[Rule, ...] = (
     _rule("SECRET", r"(?i)(?<![^\W_])(?:password|passwd|secret|api_?key|(?:access|auth|api|bearer|id|refresh|session)?token)\s?[=:]\s?[\"']?([^\s\"']{8,})", None, 0.7, ""),
 )
 
+#: Where a card or an IBAN may end: not within a word or number, but before a further group.
+_CARD_END, _IBAN_END = re.compile(r"(?![\w-])(?!\.\d)|(?=-\d)"), re.compile(r"(?!\w)")
+
+
+def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
+    """Ends of the proposals that start at a and reach b at most."""
+    if kind not in ("CARD", "IBAN"):
+        return [b]
+    size = 13 if kind == "CARD" else IBAN_LENGTHS.get(text[a : a + 2], 99)
+    places = [i + 1 for i in range(a, b) if text[i] not in " -"]
+    if kind == "IBAN":
+        return [i for i in places[size - 1 : size] if _IBAN_END.match(text, i)]
+    return [i for i in places[size - 1 :] if _CARD_END.match(text, i)]
+
+
 _DIGITS, _AT, _NAMES = re.compile(r"\d+"), re.compile("@"), re.compile(r"(?i)passw|secret|api_?key|token")
 
 
@@ -139,8 +155,8 @@ def spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int
     numbers = _windows(_DIGITS, 8, 72, text)
     found = []
     for kind, pattern, valid, score, good, bad in RULES:
-        for m in (m for a, b in around.get(kind, numbers) for m in pattern.finditer(text, a, b)):
-            a, b = m.span(m.lastindex or 0)
+        places = (m.span(m.lastindex or 0) for a, b in around.get(kind, numbers) for m in pattern.finditer(text, a, b))
+        for a, b in ((a, end) for a, b in places for end in _ends(kind, text, a, b)):
             if valid is not None and not valid(text[a:b]):
                 continue
             s = score

@@ -255,6 +255,25 @@ def test_spans_by_context(text, kinds):
     assert [s[0] for s in pii.spans(text)] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("7536784127813050 4845168114407329", ["7536784127813050", "4845168114407329"]),
+        ("4111111111111111 5500000000000004", ["4111111111111111", "5500000000000004"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+        ("4111-1111-1111-1111-12", ["4111-1111-1111-1111"]),
+        ("no 7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("DE89370400440532013000 Berlin", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 BIC 12", ["DE89 3704 0044 0532 0130 00"]),
+        ("AB12 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("41111111111111112 no, x4111111111111111 no, 4111111111111111.5 no", []),
+    ],
+)
+def test_numbers_beside_others(text, found):
+    assert [text[a:b] for kind, a, b, _ in pii.spans(text) if kind in ("CARD", "IBAN")] == found
+
+
 def test_tokens_are_secrets(spark):
     value = "deadbeefcafe" * 3 + "dead"
     for name in ("token", "TOKEN", "access_token", "auth_token", "accessToken", "x-auth-token", "client_secret"):

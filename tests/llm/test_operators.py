@@ -274,6 +274,12 @@ def test_numbers_beside_others(text, found):
     assert [text[a:b] for kind, a, b, _ in pii.spans(text) if kind in ("CARD", "IBAN")] == found
 
 
+def test_prefilter_takes_all_digits(spark):
+    text = "card " + "4111111111111111".translate({48 + i: 0xFF10 + i for i in range(10)})
+    assert [(r.kind, r.start, r.end) for r in pii.find(frame(spark, [(1, text)])).collect()] == [s[:3] for s in pii.spans(text)] != []
+    assert pii.redact(frame(spark, [(1, text)])).first().text == pii.redacted(text)
+
+
 def test_tokens_are_secrets(spark):
     value = "deadbeefcafe" * 3 + "dead"
     for name in ("token", "TOKEN", "access_token", "auth_token", "accessToken", "x-auth-token", "client_secret"):

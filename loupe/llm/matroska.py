@@ -91,9 +91,9 @@ def elements(data: bytes, at: int, end: int, ends_at: frozenset[int] = frozenset
             return
         if size is None:
             stop = end
-            if kind == CLUSTER:  # ends where the next element of the segment's level begins
+            if kind in (CLUSTER, SEGMENT):  # ends where the next element of its level begins, or of one above
                 stop = begin
-                for _, _, _, e in elements(data, at, end, TOP | {EBML, SEGMENT}):
+                for _, _, _, e in elements(data, at, end, (TOP if kind == CLUSTER else frozenset()) | {EBML, SEGMENT}):
                     stop = e
                 stop = max(stop, at)
             yield kind, begin, at, stop

@@ -476,6 +476,16 @@ def test_unknown_sizes():
     assert [p[2] for p in matroska.packets(blob)] == [3_000_000] * 2
 
 
+def test_segments_of_unknown_size_in_a_row():
+    header = matroska.element(matroska.EBML, matroska.unsigned(0x4286, 1))
+    blob = b""
+    for word in (b"one", b"two", b"three"):
+        body = matroska.unsigned(matroska.TIMESTAMP, 3) + matroska.element(matroska.SIMPLE, matroska.block(1, 0, [word], matroska.NONE))
+        cluster = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+        blob += (header if word != b"two" else b"") + matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + cluster
+    assert [blob[p[4] : p[4] + p[5]] for p in matroska.packets(blob)] == [b"one", b"two", b"three"]
+
+
 # 8 Token shards
 
 

@@ -146,7 +146,7 @@ def titlecase_names(spark, sf_dir):
 
 @query()
 def german_restore(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", "text")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     plain = df.withColumn("text", F.replace(F.replace(F.replace("text", F.lit("ü"), F.lit("ue")), F.lit("ö"), F.lit("oe")), F.lit("ä"), F.lit("ae")))
     return Request(german=True).run(plain)
 

@@ -28,3 +28,12 @@ def test_queries_read_whole_tables():
     with open(os.path.join(ROOT, "loupe", "queries.py"), encoding="utf-8") as f:
         text = f.read()
     assert ".limit(" not in text and ".sample(" not in text
+
+
+def test_german_restore_covers_all_documents(spark):
+    from loupe import queries as scope_queries
+
+    folder = "/root/testdata/sf0.001"
+    got = scope_queries.QUERIES["german_restore"](spark, folder).select("doc_id")
+    want = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id")
+    assert sorted(got.collect()) == sorted(want.collect())

@@ -8,29 +8,42 @@ grams before a pair is verified.  A pair is a candidate if the grams that both e
 number at least the smaller of their two l, so nothing is lost by choosing separately.
 
 1. One pass counts the frequent grams (the order's tail and the cost estimate) and hashes
-   each document's whole set; documents with equal sets are one from here on.
+   each document's whole set; documents with equal sets are one from here on.  Of a set that
+   many documents have, only the first emits a prefix.
 2. Prefixes are exchanged once by gram; lists of one set end there, the others give pairs.
+   Lists of grams that keep company and promise more than TILE_PAIRS pairs are cut into blocks of
+   sets, and each pair of blocks is a task's work of its own.
 3. Pairs with enough matches are verified exactly on the texts, which are sent once to
-   each block of pairs around a common neighbour.
-
-Defined results: documents without words (null or empty texts) are similar to nothing;
-documents of 1 to n-1 words have one gram; identical rows appear once for each doc_id;
-null doc_ids take part but have no id to report; ties need no breaking, as all pairs that
-reach the threshold are returned; an empty table gives an empty result; further columns
-aren't read, and keep_one() passes them unchanged.
+   each block of pairs around a common neighbour.  There they become the number of links of
+   each set and a spanning forest, so that what leaves is linear in the sets.
+
+join() returns a row for each document: its class (the least doc_id that it is connected
+to through similar documents), and its links, the number of other documents similar to
+it.  Copies are counted, not expanded.  similar() gives the pairs of sets themselves.
+
+Sets and rows are named by two independent 64-bit hashes; sets that agree in the first alone are
+told apart and verified each.
+
+Defined results: documents without words (null or empty texts) are similar to nothing and
+their own class; documents of 1 to n-1 words have one gram; repeated rows are documents of
+their own, similar to each other; null doc_ids take part, and a class without any doc_id
+is null; ties need no breaking, as all pairs that reach the threshold count; very long texts are
+read whole, their sets held in memory one at a time; an empty table gives an empty result; further
+columns aren't read, and keep_one() passes them unchanged: of rows equal in doc_id and text
+it keeps any one, whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .exchange import PACKED, Packed, by_bucket, parts, records, written
+from .exchange import PACKED, Packed, by_bucket, discard, parts, records, written
 
 N = 3
 THRESHOLD = 0.6
@@ -41,19 +54,22 @@ VERIFY_COST = 50.0
 RARE_PARTNERS = 0.2
 SIZE_STEP = 1.05
 BLOCK_SETS = 1024
-
-_POSTING = np.dtype([("key", "u8"), ("gram", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
-#: 40 bits of the gram are sent; grams that agree in them can only add candidates.
-_SENT = np.dtype([("low", "u4"), ("high", "u1"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
-_RECEIVED = np.dtype([("key", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
+#: At most this many frequent grams, the most frequent, are known to all tasks; which they are changes no result.
+HEAVY_MOST = 1 << 20
+#: A set that at least this share of documents, and this many, have; there are at most 1 / share of them.
+COPIES_SHARE, COPIES_LEAST = 0.00001, 64
+TILE_PAIRS = 1 << 24
+
+_POSTING = np.dtype([("key", "u8"), ("list", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
+#: `l` holds the side of a tile in its upper half.
+_SENT = np.dtype([("list", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 _GRAM_BITS = np.uint64(52)
 
 
 def _sent(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), _SENT)
-    g = r["gram"] >> np.uint64(12)
-    out["low"], out["high"] = g & np.uint64(0xFFFFFFFF), g >> np.uint64(32)
-    out["set"], out["l"], out["size"] = r["set"], r["l"], r["size"]
+    for c in _SENT.names:
+        out[c] = r[c]
     return out
 
 
@@ -71,20 +87,26 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, n
             a = c
 
 
-def set_hash(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def set_hash(grams: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each set, from the sum of its mixed members and its size."""
     with np.errstate(over="ignore"):
-        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(grams + np.uint64(1)))])
+        salt = X.mix(np.array([2 * seed + 1], np.uint64))
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(grams + salt))])
         return X.mix(s[offsets[1:]] - s[offsets[:-1]] + X.mix(np.diff(offsets).astype(np.uint64)))
 
 
+_RK = (F.xxhash64, lambda *c: F.xxhash64(F.lit(1), *c))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, rk): rk names a row by what it holds."""
-    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("rk", F.xxhash64("doc_id", "text"))
+    """(doc_id, text, rk, rk2): the last two name a row by what it holds."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return docs.select("*", *[f("doc_id", "text").alias(c) for c, f in zip(("rk", "rk2"), _RK)])
 
 
 def census(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows of two kinds: (gram, count in a task) of locally repeated grams; (set, size, doc_id, rk) of documents."""
+    """Rows of two kinds: (gram, count in a task) of locally repeated grams; (set, set2, size, doc_id, rk, rk2) of documents."""
+    names = ["set", "set2", "size", "doc_id", "rk", "rk2", "gram", "c"]
 
     def scan(batches):
         held: list[np.ndarray] = []
@@ -99,21 +121,22 @@ def census(docs: DataFrame, n: int = N) -> DataFrame:
             return k[at], (np.add.reduceat(c, at) if len(at) else c)
 
         for b in batches:
-            texts, ids, rk = X.as_array(b.column(1)), b.column(0), b.column(2)
+            texts, ids, rk, rk2 = X.as_array(b.column(1)), b.column(0), b.column(2), b.column(3)
             for i, j, grams, off in gram_sets(texts, n):
                 held.append(grams)
                 size = np.diff(off)
                 some = size > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(some, set_hash(grams, off).view(np.int64), 0), mask=~some),
+                        *(pa.array(np.where(some, set_hash(grams, off, k).view(np.int64), 0), mask=~some) for k in (0, 1)),
                         pa.array(size, pa.int32()),
                         ids.slice(i, j - i),
                         rk.slice(i, j - i),
+                        rk2.slice(i, j - i),
                         pa.nulls(j - i, pa.int64()),
                         pa.nulls(j - i, pa.int64()),
                     ],
-                    names=["set", "size", "doc_id", "rk", "gram", "c"],
+                    names=names,
                 )
             if sum(map(len, held)) > 1 << 22:
                 keys, counts = merge()
@@ -124,30 +147,69 @@ def census(docs: DataFrame, n: int = N) -> DataFrame:
             g, c = keys[often].astype(np.int64), counts[often]
             for s in range(0, len(g), 1 << 15):
                 m = len(g[s : s + (1 << 15)])
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array(g[s : s + m]), pa.array(c[s : s + m])],
-                    names=["set", "size", "doc_id", "rk", "gram", "c"],
-                )
-
-    return _keyed(docs).mapInArrow(scan, "set bigint, size int, doc_id bigint, rk bigint, gram bigint, c bigint")
+                none = [pa.nulls(m, pa.int32() if c == "size" else pa.int64()) for c in names[:6]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(g[s : s + m]), pa.array(c[s : s + m])], names=names)
 
+    return _keyed(docs).mapInArrow(
+        scan, "set bigint, set2 bigint, size int, doc_id bigint, rk bigint, rk2 bigint, gram bigint, c bigint"
+    )
 
-def heavy_grams(table: DataFrame, share: float = HEAVY_SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, counts) of what is found in at least `share` of all documents.
 
-    There are at most (mean set size) / share of them, however many documents there are.
-    """
-    docs = table.where("gram is null").count()
+def heavy_grams(table: DataFrame, docs: int, share: float = HEAVY_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, counts) of what is found in at least `share` of all documents, the HEAVY_MOST most frequent of them."""
     rows = (
         table.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c"))
-        .where(F.col("c") >= max(LOCAL_LEAST, share * docs)).toPandas()
+        .where(F.col("c") >= max(LOCAL_LEAST, share * docs))
+        .orderBy(F.desc("c"), "gram").limit(HEAVY_MOST).toPandas()
     )
     rows = rows.sort_values("gram")
     return rows.gram.to_numpy(dtype=np.int64).view(np.uint64), rows.c.to_numpy(dtype=np.int64)
 
 
-def families(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int = N) -> np.ndarray:
-    """A label of each frequent gram, the same for grams that keep company.
+class Copied:
+    """The sets that very many documents have, and the row of each that stands for all."""
+
+    def __init__(self, owners: DataFrame, docs: int):
+        least = max(COPIES_LEAST, COPIES_SHARE * docs)
+        # at most 1 / COPIES_SHARE rows
+        rows = (
+            owners.groupBy("set", "set2").agg(F.count("*").alias("n"), F.min("rk").alias("rk"))
+            .where(F.col("n") >= least).orderBy("set", "set2").toPandas()
+        )
+        self.ids = rows[["set", "set2"]]
+        both = rows["set"].to_numpy(dtype=np.int64).view(np.uint64), rows["set2"].to_numpy(dtype=np.int64).view(np.uint64)
+        key = self._key(*both)
+        by = np.argsort(key)
+        self.key, self.rk = key[by], rows["rk"].to_numpy(dtype=np.int64)[by]
+
+    @staticmethod
+    def _key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return X.mix(one + X.mix(two))
+
+    def firsts(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """For one task: which rows are to emit; a row that stands for copies does so once in the task."""
+        done = np.zeros(len(self.key), bool)
+
+        def emits(grams: np.ndarray, off: np.ndarray, rk: np.ndarray) -> np.ndarray:
+            own = np.diff(off) > 0
+            if len(self.key):
+                key = self._key(set_hash(grams, off), set_hash(grams, off, 1))
+                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hot = np.flatnonzero(self.key[at] == key)
+                own[hot] &= (self.rk[at[hot]] == rk[hot]) & ~done[at[hot]]
+                once = np.zeros(len(own), bool)
+                some = hot[own[hot]]
+                once[some[np.unique(at[some], return_index=True)[1]]] = True
+                own[hot] &= once[hot]
+                done[at[once]] = True
+            return own
+
+        return emits
+
+
+def families(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Copied, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """A label of each frequent gram, the same for grams that keep company, and the blocks that the label's sets are cut into.
 
     Postings go to buckets by this label, so that the many grams of a large group of copies
     meet in one place and their pairs are counted there, once, instead of being exchanged
@@ -159,12 +221,17 @@ def families(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int = N)
     none = np.uint64((1 << 64) - 1)
 
     def scan(batches):
-        label = np.full(len(grams), none)
+        label, many = np.full(len(grams), none), np.zeros(len(grams), np.int64)
+        emits = copied.firsts()
         for b in batches:
+            rk = b.column(1).to_numpy()
             for i, j, g, off in gram_sets(X.as_array(b.column(0)), n):
                 at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
                 hit = np.flatnonzero(grams[at] == g)
                 at, row = at[hit], (np.searchsorted(off, hit, side="right") - 1)
+                own = emits(g, off, rk[i:j])
+                at, row = at[own[row]], row[own[row]]
+                many += np.bincount(at, minlength=len(grams))
                 key = row * 64 + level[at]
                 by = np.argsort(key, kind="stable")
                 at, key = at[by], key[by]
@@ -174,14 +241,22 @@ def families(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int = N)
                 least = np.minimum.reduceat(grams[at], first)
                 np.minimum.at(label, at, np.repeat(least, np.diff(np.append(first, len(at)))))
         seen = np.flatnonzero(label != none)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(label[seen].astype(np.int64))], ["i", "label"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.int32()), pa.array(label[seen].astype(np.int64)), pa.array(many[seen])], ["i", "label", "many"]
+        )
 
-    label = grams.copy()
+    label, many = grams.copy(), np.zeros(len(grams))
     if len(grams):
         # one row for each frequent gram, of which there is a bounded number
-        found = docs.select("text").mapInArrow(scan, "i int, label bigint").groupBy("i").agg(F.min("label").alias("label")).toPandas()
-        label[found.i.to_numpy()] = found.label.to_numpy(dtype=np.int64).view(np.uint64)
-    return label
+        found = (
+            docs.select("text", "rk").mapInArrow(scan, "i int, label bigint, many bigint")
+            .groupBy("i").agg(F.min("label").alias("label"), F.sum("many").alias("many")).toPandas()
+        )
+        i = found.i.to_numpy()
+        label[i], many[i] = found.label.to_numpy(dtype=np.int64).view(np.uint64), found.many.to_numpy()
+    _, family = np.unique(label, return_inverse=True)
+    work = np.bincount(family, weights=many * many) if len(grams) else np.zeros(0)
+    return label, np.ceil(np.sqrt(np.maximum(work / TILE_PAIRS, 1))).astype(np.int64)[family]
 
 
 def choose(cost: np.ndarray) -> np.ndarray:
@@ -220,45 +295,74 @@ def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: n
     return grams[at], owner, chosen, index[at]
 
 
-def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t: float, most: int) -> DataFrame:
+def tiled(r: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Each posting once for each tile that its block of sets takes part in; blocks[i] is into how many posting i's list is cut."""
+    cut = blocks > 1
+    if not cut.any():
+        return r
+    whole, r, blocks = r[~cut], r[cut], blocks[cut]
+    own = (r["set"] % blocks.astype(np.uint64)).astype(np.int64)
+    own, other = np.repeat(own, blocks), X.ranges(np.zeros(len(r), np.int64), blocks)
+    r = np.repeat(r, blocks)
+    with np.errstate(over="ignore"):
+        tile = X.mix((np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1))
+        r["key"] = X.mix(r["key"] ^ tile)
+        r["list"] = X.mix(r["list"] ^ tile)
+    r["l"] |= (np.sign(other - own) % 3 << 4).astype(np.uint8)  # 1 is the lower block of a tile, 2 the upper
+    return np.concatenate([whole, r])
+
+
+def partners(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(postings sorted by list, first partner, number of partners): all pairs of a list, or those across the sides of a tile."""
+    side = r["l"] >> 4
+    r = r[np.lexsort((r["l"], r["set"], side, r["list"]))]  # of sets that share a hash the least demand counts
+    if not len(r):
+        return r, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.ones(len(r), bool)
+    first[1:] = (r["list"][1:] != r["list"][:-1]) | (r["set"][1:] != r["set"][:-1])
+    r = r[first]
+    side = r["l"] >> 4
+    cut = np.concatenate([[0], np.flatnonzero(r["list"][1:] != r["list"][:-1]) + 1])
+    many = np.diff(np.append(cut, len(r)))
+    end = np.repeat(cut + many, many)
+    upper = np.repeat(np.add.reduceat((side == 2).astype(np.int64), cut), many)
+    begin = np.where(side == 0, np.arange(len(r)) + 1, end - upper)
+    return r, begin, np.where(side == 2, 0, end - begin)
+
+
+def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Copied, n: int, t: float, most: int) -> DataFrame:
     """(a, b) pairs of sets, a < b, with enough shared prefix grams."""
-    buckets = parts(docs.sparkSession)
-    label = families(docs, heavy, n)
+    docs = _keyed(docs)
+    buckets = parts(docs)
+    label, blocks = families(docs, heavy, copied, n)
 
     def emit(batches):
         out = Packed(buckets, _sent)
+        emits = copied.firsts()
         for b in batches:
-            for _, _, grams, off in gram_sets(X.as_array(b.column(0)), n):
+            rk = b.column(1).to_numpy()
+            for i, j, grams, off in gram_sets(X.as_array(b.column(0)), n):
+                own = emits(grams, off, rk[i:j])
+                if not own.all():
+                    size = np.diff(off)
+                    grams = grams[np.repeat(own, size)]
+                    off = np.concatenate([[0], np.cumsum(size[own])])
                 g, owner, chosen, index = prefixes(grams, off, *heavy, t, most)
                 r = np.zeros(len(g), _POSTING)
                 step = np.minimum(np.log(np.maximum(np.diff(off), 1)) / np.log(SIZE_STEP), 255).astype(np.uint8)
                 r["key"] = g if not len(label) else np.where(index >= 0, label[index], g)
-                r["gram"], r["set"], r["l"], r["size"] = g, set_hash(grams, off)[owner], chosen[owner], step[owner]
-                yield from out.add(r)
+                r["list"], r["set"], r["l"], r["size"] = g, set_hash(grams, off)[owner], chosen[owner], step[owner]
+                yield from out.add(tiled(r, np.where(index >= 0, blocks[index], 1)) if len(blocks) else r)
         yield from out.done()
 
     def pairs(batches):
-        sent = records(batches, _SENT)
-        r = np.empty(len(sent), _RECEIVED)
-        r["key"] = sent["high"].astype("u8") << np.uint64(32) | sent["low"]
-        r["set"], r["l"], r["size"] = sent["set"], sent["l"], sent["size"]
-        del sent
-        r = r[np.argsort(r["key"], kind="stable")]
-        cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))
-        many = np.diff(np.append(cut, len(r)))
-        r = r[np.repeat(many > 1, many)]
-        if not len(r):
-            return
-        r = r[np.lexsort((r["set"], r["key"]))]
-        first = np.ones(len(r), bool)
-        first[1:] = (r["key"][1:] != r["key"][:-1]) | (r["set"][1:] != r["set"][:-1])
-        r = r[first]
-        s, l, step = r["set"].copy().view(np.int64), r["l"].astype(np.int64), r["size"].astype(np.int64)
+        r = records(batches, _SENT)
+        r = r[np.argsort(r["list"], kind="stable")]
+        cut = np.flatnonzero(r["list"][1:] != r["list"][:-1]) + 1
+        many = np.diff(np.concatenate([[0], cut, [len(r)]]))
+        r, begin, later = partners(r[np.repeat(many > 1, many)])
+        s, l, step = r["set"].copy().view(np.int64), (r["l"] & 15).astype(np.int64), r["size"].astype(np.int64)
         apart = int(np.log(1 / t) / np.log(SIZE_STEP)) + 2  # sizes of similar sets differ by fewer steps
-        cut = np.flatnonzero(np.diff(r["key"].astype(np.int64), prepend=-1))
-        ends = np.append(cut[1:], len(r))
-        end = np.repeat(ends, ends - cut)
-        later = end - np.arange(len(r)) - 1  # partners behind each posting in its list
         # rows are cut where about 2^20 pairs are full, so long lists don't need more memory than short ones
         total = np.cumsum(later)
         held: list[np.ndarray] = []
@@ -267,7 +371,7 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
         while a < len(r):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
             left = np.repeat(np.arange(a, b), later[a:b])
-            right = X.ranges(np.arange(a, b) + 1, later[a:b])
+            right = X.ranges(begin[a:b], later[a:b])
             fits = (np.abs(step[left] - step[right]) < apart) | (step[left] == 255) | (step[right] == 255)
             left, right = left[fits], right[fits]
             x = np.empty(len(left), _MATCH)
@@ -281,7 +385,7 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, t:
                 done = np.zeros(0, _MATCH)
             a = b
 
-    matched = by_bucket(docs.select("text").mapInArrow(emit, PACKED), buckets).mapInArrow(
+    matched = by_bucket(docs.select("text", "rk").mapInArrow(emit, PACKED), buckets).mapInArrow(
         pairs, "a bigint, b bigint, need int, c int"
     )
     return matched.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
@@ -310,14 +414,32 @@ def _match_batches(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(y[c].copy()) for c in ("a", "b", "need", "c")], ["a", "b", "need", "c"])
 
 
-def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of sets that reach t.
+def forest(left: list[int], right: list[int]) -> dict[int, int]:
+    """The least vertex of the component of each vertex that has an edge."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(left, right):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(up)}
+
+
+PAIRS, LINKS = "a bigint, b bigint, jaccard double", "v bigint, root bigint, links bigint"
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, t: float, form: str = PAIRS) -> DataFrame:
+    """The pairs of sets that reach t, or for each place where pairs are checked the links of each set and the root of its tree.
 
     A pair is checked where the least neighbour of `a` is; where that gathers more than
     BLOCK_SETS sets, the pairs are cut into tiles of about BLOCK_SETS by BLOCK_SETS.  The
     text of a set goes once to each place that needs it.
     """
-    spark = docs.sparkSession
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hub = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
     keyed = pairs.join(hub, "a")
@@ -325,24 +447,41 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int, t: fl
         *[F.greatest(F.ceil(F.approx_count_distinct(c) / BLOCK_SETS), F.lit(1)).cast("int").alias(f"tiles_{c}") for c in ("a", "b")]
     )
     tile = [F.pmod(F.xxhash64(c), f"tiles_{c}") for c in ("a", "b")]
-    places = 8 * parts(spark)
+    buckets = parts(docs)
+    places = 8 * buckets
     keyed = keyed.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("hub", *tile), F.lit(places)))
     keyed = written(keyed.select("tile", "a", "b"), "tiles")
     # one document of each set that is needed, and the tiles that need it
     chosen = (
         keyed.select("tile", F.explode(F.array("a", "b")).alias("set"))
         .groupBy("set").agg(F.collect_set("tile").alias("tiles"))
-        .join(owners.groupBy("set").agg(F.min("rk").alias("rk")), "set")
+        .join(sets, "set")
     )
-    texts = _keyed(docs).select("rk", "text").join(chosen, "rk")
-    texts = texts.select(F.explode("tiles").alias("tile"), F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = texts.unionByName(keyed.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
-    rows = rows.repartition(parts(spark), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    texts = _keyed(docs).select("rk", "rk2", "text").join(chosen, ["rk", "rk2"])
+    none = F.lit(None).cast("long")
+    texts = texts.select(F.explode("tiles").alias("tile"), F.col("set").alias("a"), none.alias("b"), "text", "copies")
+    rows = texts.unionByName(keyed.select("tile", "a", "b", F.lit(None).cast("string").alias("text"), none.alias("copies")))
+    rows = rows.repartition(buckets, "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+
+    def results(found: tuple[list, list, list], copies: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        left, right, jaccard = found
+        if form == PAIRS:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(jaccard, pa.float64())], ["a", "b", "jaccard"]
+            )
+        elif left:
+            root = forest(left, right)
+            links = dict.fromkeys(root, 0)
+            for a, b in zip(left, right):
+                links[a] += copies[b]
+                links[b] += copies[a]
+            columns = [pa.array(list(x), pa.int64()) for x in (root, root.values(), (links[v] for v in root))]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "root", "links"])
 
     def check(batches):
-        tile, sets_here = None, {}
+        tile, sets_here, copies = None, {}, {}
+        out: tuple[list, list, list] = ([], [], [])
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
             sets = {}
             texts = X.as_array(batch.column(3))
             have = np.flatnonzero(np.asarray(texts.is_valid()))
@@ -351,11 +490,13 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int, t: fl
                 for i, j, grams, off in gram_sets(mine, n):
                     for k in range(i, j):
                         sets[int(have[k])] = grams[off[k - i] : off[k - i + 1]]
+            many = batch.column(4).to_pylist()
             for row, (tl, a, o) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 if tl != tile:
-                    tile, sets_here = tl, {}
+                    yield from results(out, copies)
+                    tile, sets_here, copies, out = tl, {}, {}, ([], [], [])
                 if o is None:
-                    sets_here[a] = sets[row]
+                    sets_here[a], copies[a] = sets[row], many[row]
                     continue
                 x, y = sets_here[a], sets_here[o]
                 if len(x) < t * len(y) - 1e-9 or len(y) < t * len(x) - 1e-9:
@@ -367,42 +508,96 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int, t: fl
                 if j >= t - 1e-12:
                     for c, v in zip(out, (a, o, j)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"]
-            )
+        yield from results(out, copies)
+
+    return rows.mapInArrow(check, form)
+
 
-    return rows.mapInArrow(check, "a bigint, b bigint, jaccard double")
+def _told_apart(owners: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """owners with `set` different for different sets; and (set, id) of the sets that shared a hash, None if there are none.
+
+    The first of them keeps the hash, the others get one of both their hashes.
+    """
+    shared = owners.groupBy("set").agg(F.min("set2").alias("lo"), F.max("set2").alias("hi")).where("lo < hi").select("set", "lo")
+    if shared.isEmpty():
+        return owners.drop("set2"), None
+    # Expected are n^2 / 2^65 of n sets, 70 of 5e10.
+    own = F.when(F.col("lo").isNull() | (F.col("set2") == F.col("lo")), F.col("set")).otherwise(F.xxhash64("set", "set2"))
+    owners = owners.join(shared, "set", "left").withColumn("id", own)
+    names = owners.where("lo is not null").select("set", "id").distinct()
+    return owners.select(F.col("id").alias("set"), *[c for c in owners.columns if c not in ("set", "set2", "id", "lo")]), names
+
+
+class Similar:
+    """owners (set, size, doc_id, rk, rk2), bare (doc_id of rows without words), and what verified() gives."""
+
+    def __init__(self, docs: DataFrame, n: int, t: float, most: int, form: str):
+        if not 0 < most < 16:
+            raise ValueError("matches are demanded from 1 to 15")
+        self.table = written(census(docs, n), "census")
+        rows = self.table.where("gram is null")
+        self.count = rows.count()
+        named = rows.where("set is not null").drop("gram", "c")
+        self.bare = rows.where("set is null").select("doc_id")
+        copied = Copied(named, self.count)
+        found = written(candidates(docs, heavy_grams(self.table, self.count, HEAVY_SHARE), copied, n, t, most), "candidates")
+        self.owners, names = _told_apart(named)
+        pairs = found
+        if names is not None:
+            for c in ("a", "b"):
+                x = names.select(F.col("set").alias(c), F.col("id").alias("id"))
+                pairs = pairs.join(x, c, "left").withColumn(c, F.coalesce("id", c)).drop("id")
+            twins = names.select("set", F.col("id").alias("a")).join(names.select("set", F.col("id").alias("b")), "set")
+            pairs = pairs.unionByName(twins.where("a != b").drop("set"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        self.sets = self.owners.groupBy("set").agg(
+            F.min("rk").alias("rk"), F.min_by("rk2", "rk").alias("rk2"), F.count("*").alias("copies")
+        )
+        self.found = written(verified(docs, self.sets, pairs, n, t, form), "similar")
+        discard(found)
+        least = max(COPIES_LEAST, COPIES_SHARE * self.count)
+        self.hot = written(self.sets.where(F.col("copies") >= least).select("set"), "copied")
+
+    def with_set(self, rows: DataFrame, info: DataFrame) -> DataFrame:
+        """rows left-joined with info by set; sets that very many rows have aren't shuffled by it."""
+        hot = F.broadcast(self.hot)  # at most 1 / COPIES_SHARE sets
+        flagged = rows.join(hot.withColumn("__lp_hot", F.lit(True)), "set", "left")
+        many = flagged.where("__lp_hot").join(F.broadcast(info.join(hot, "set", "left_semi")), "set", "left")
+        few = flagged.where("__lp_hot is null").join(info, "set", "left")
+        return many.unionByName(few).drop("__lp_hot")
 
 
-def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MAX_MATCHES) -> tuple[DataFrame, DataFrame]:
-    """(set, size, doc_id, rk) of the documents that have words, and (a, b, jaccard) of similar distinct sets."""
-    table = written(census(docs, n), "census")
-    owners = table.where("gram is null and set is not null").select("set", "size", "doc_id", "rk")
-    pairs = written(candidates(docs, heavy_grams(table), n, t, most), "candidates")
-    return owners, written(verified(docs, owners, pairs, n, t), "similar")
+def similar(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MAX_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """(set, size, doc_id, rk, rk2) of the documents that have words, and (a, b, jaccard) of similar distinct sets."""
+    s = Similar(docs, n, t, most, PAIRS)
+    return s.owners, s.found
 
 
 def join(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MAX_MATCHES) -> DataFrame:
-    """(docs_a, docs_b, jaccard): lists of the doc_ids of two similar sets; both the same list for copies of one set."""
-    owners, similar = similar_sets(docs, n, t, most)
-    ids = owners.groupBy("set").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    pairs = (
-        similar.join(ids.select(F.col("set").alias("a"), F.col("ids").alias("docs_a")), "a")
-        .join(ids.select(F.col("set").alias("b"), F.col("ids").alias("docs_b")), "b")
-        .where("size(docs_a) > 0 and size(docs_b) > 0")
+    """(doc_id, class, links) of every row of docs."""
+    s = Similar(docs, n, t, most, LINKS)
+    links = s.found.groupBy("v").agg(F.sum("links").alias("links"))
+    roots = components(s.found.select(F.col("v").alias("a"), F.col("root").alias("b"))).where("v != root")
+    # a row for each set that has copies or links
+    least = s.owners.groupBy("set").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    info = (
+        least.join(links.withColumnRenamed("v", "set"), "set", "left")
+        .join(roots.withColumnRenamed("v", "set"), "set", "left")
+        .where("copies > 1 or links is not null")
+        .select("set", F.coalesce("root", "set").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    first = F.get("docs_a", F.lit(0)) <= F.get("docs_b", F.lit(0))
-    ordered = pairs.select(
-        F.when(first, F.col("docs_a")).otherwise(F.col("docs_b")).alias("docs_a"),
-        F.when(first, F.col("docs_b")).otherwise(F.col("docs_a")).alias("docs_b"),
-        "jaccard",
+    info = written(info, "links")
+    names = info.groupBy("root").agg(F.min("least").alias("class"))
+    info = written(info.join(names, "root").select("set", "class", "links"), "classes")
+    rows = s.with_set(s.owners.select("set", "doc_id"), info)
+    own = F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class"))
+    return rows.select("doc_id", own.alias("class"), F.coalesce("links", F.lit(0)).alias("links")).unionByName(
+        s.bare.select("doc_id", F.col("doc_id").alias("class"), F.lit(0).cast("long").alias("links"))
     )
-    copies = ids.where("size(ids) > 1").select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return ordered.unionByName(copies)
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(v, root): the least vertex of each vertex's component, by alternating large and small stars."""
+    """(v, root): the least vertex of the component of every other vertex, by alternating large and small stars."""
 
     def stars(edges: DataFrame) -> DataFrame:
         """(u, v, m): m is the least of u and its neighbours."""
@@ -412,7 +607,8 @@ def components(pairs: DataFrame) -> DataFrame:
     def mark(edges: DataFrame):
         return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
-    edges = written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), "edges")
+    u, v = F.greatest("a", "b"), F.least("a", "b")
+    edges = written(pairs.where("a != b").select(u.alias("u"), v.alias("v")).distinct(), "edges")
     seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -421,7 +617,8 @@ def components(pairs: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = written(small.distinct(), "edges")
+        last, edges = edges, written(small.distinct(), "edges")
+        discard(last)
         before, seen = seen, mark(edges)
         if before == seen:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
@@ -429,24 +626,23 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MAX_MATCHES) -> DataFrame:
     """docs with one row of each group of similar documents: that of the least doc_id, nulls last."""
-    owners, similar = similar_sets(docs, n, t, most)
-    roots = components(similar)
-    grouped = owners.join(roots.withColumnRenamed("v", "set"), "set", "left").select(
-        F.coalesce("root", "set").alias("root"), "doc_id", "rk"
-    )
-    groups = grouped.groupBy("root").agg(
-        F.min_by("rk", F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("best"), F.count("*").alias("n")
-    )
-    # rows of groups of one document are left alone; identical rows share rk, so these are told apart by rank
-    marks = (
-        grouped.join(groups.where("n > 1"), "root")
-        .select(F.col("rk").alias("__lp_rk"), (F.col("rk") == F.col("best")).alias("__lp_best")).distinct()
-    )
-    order = Window.partitionBy("__lp_rk").orderBy("__lp_best")
-    return (
-        docs.withColumn("__lp_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-        .join(marks, "__lp_rk", "left")
-        .withColumn("__lp_n", F.row_number().over(order))
-        .where("__lp_best is null or (__lp_best and __lp_n = 1)")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    s = Similar(docs, n, t, most, LINKS)
+    roots = components(s.found.select(F.col("v").alias("a"), F.col("root").alias("b")))
+    roots = roots.unionByName(roots.select(F.col("root").alias("v"), "root")).distinct()
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "rk2")
+    own = s.owners.groupBy("set").agg(F.min(best).alias("best"), F.count("*").alias("copies"))
+    own = own.join(roots.withColumnRenamed("v", "set"), "set", "left").where("copies > 1 or root is not null")
+    own = written(own.select("set", F.coalesce("root", "set").alias("root"), "best"), "groups")
+    names = own.groupBy("root").agg(F.min("best").alias("best"))
+    info = written(own.select("set", "root").join(names, "root").select("set", "best.rk", "best.rk2"), "best")
+    # rows of groups of one document are left alone
+    rows = s.with_set(s.owners.select("set", F.col("rk").alias("__lp_rk"), F.col("rk2").alias("__lp_rk2")), info)
+    rows = rows.where("rk is not null").withColumn("__lp_best", F.expr("rk = __lp_rk and rk2 = __lp_rk2"))
+    marks = written(rows.groupBy("__lp_rk", "__lp_rk2").agg(F.max("__lp_best").alias("__lp_best"), F.count("*").alias("__lp_n")), "marks")
+    keys = ["__lp_rk", "__lp_rk2"]
+    marked = docs.withColumns({k: f(F.col("doc_id").cast("long"), F.col("text")) for k, f in zip(keys, _RK)}).join(marks, keys, "left")
+    kept = marked.where("__lp_best is null or (__lp_best and __lp_n = 1)")
+    if not marks.where("__lp_best and __lp_n > 1").isEmpty():
+        # a partial aggregation, so that no task gets all of many identical rows
+        kept = kept.unionByName(marked.where("__lp_best and __lp_n > 1").dropDuplicates(keys))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -139,7 +139,7 @@ def windows(stretches: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
 
 def _places(docs: DataFrame, least: int, anchor: int) -> DataFrame:
     """(rk, keys): the minimizers of each document that occur in more than one place."""
-    buckets = parts(docs.sparkSession)
+    buckets = parts(docs)
 
     def emit(batches):
         out = Packed(buckets)
@@ -216,9 +216,8 @@ def _stretches(docs: DataFrame, places: DataFrame, least: int, anchor: int) -> D
     )
 
 
-def _windows(stretches: DataFrame, least: int) -> DataFrame:
+def _windows(stretches: DataFrame, buckets: int, least: int) -> DataFrame:
     """(doc_id, rk, start, end, keep, first_doc): runs of windows with several occurrences, by tokens."""
-    buckets = parts(stretches.sparkSession)
     none = np.int64((1 << 63) - 1)
 
     def find(batches):
@@ -288,7 +287,7 @@ def spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFram
     first_doc is the least document that holds the first occurrence of any of the span's windows.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("rk", F.xxhash64("doc_id", "text"))
-    found = _windows(_stretches(keyed, _places(keyed, least, anchor), least, anchor), least)
+    found = _windows(_stretches(keyed, _places(keyed, least, anchor), least, anchor), parts(keyed), least)
     order = Window.partitionBy("rk", "keep").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum((F.col("start") > F.coalesce("before", F.lit(-1))).cast("int")).over(order)  # touching spans merge

@@ -333,12 +333,79 @@ def brute_pairs(rows, t):
 @pytest.mark.parametrize(("t", "share"), [(0.6, 0.0005), (0.3, 0.1)])
 def test_join_matches_brute_force(docs, rows, t, share, monkeypatch):
     monkeypatch.setattr(jaccard, "HEAVY_SHARE", share)
-    got = set()
-    for r in jaccard.join(docs, 3, t).collect():
-        got |= {(min(a, b), max(a, b)) for a in r.docs_a for b in r.docs_b if a != b}
+    owners, pairs = jaccard.similar(docs, 3, t)
+    ids = {}
+    for r in owners.collect():
+        ids.setdefault(r.set, []).append(r.doc_id)
+    got = {(a, b) for m in ids.values() for a, b in combinations(sorted({x for x in m if x is not None}), 2)}
+    for r in pairs.collect():
+        got |= {(min(a, b), max(a, b)) for a in ids[r.a] for b in ids[r.b] if a is not None and b is not None}
     assert got == brute_pairs(rows, t)
 
 
+def brute_classes(rows, t):
+    """(doc_id, class, links) of every row."""
+    sets = [grams(text) for _, text in rows]
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            old, new = root[a], root[b]
+            root = [new if x == old else x for x in root]
+    first = {x: min((rows[i][0] for i in range(len(rows)) if root[i] == x and rows[i][0] is not None), default=None) for x in root}
+    return sorted(((i, first[x], n) for (i, _), x, n in zip(rows, root, links)), key=str)
+
+
+@pytest.mark.parametrize("change", ["", "tiles", "copies", "hashes", "few"])
+def test_classes_match_brute_force(spark, docs, rows, change, monkeypatch):
+    if change == "tiles":  # every list of a frequent gram is cut into blocks
+        monkeypatch.setattr(jaccard, "TILE_PAIRS", 4)
+    elif change == "copies":  # every set that two documents have is hot
+        monkeypatch.setattr(jaccard, "COPIES_LEAST", 2)
+    elif change == "hashes":  # different sets share a hash
+        monkeypatch.setattr(jaccard, "set_hash", shared_hash())
+    elif change == "few":
+        monkeypatch.setattr(jaccard, "HEAVY_MOST", 3)
+    got = [tuple(r) for r in jaccard.join(docs).collect()]
+    assert sorted(got, key=str) == brute_classes(rows, 0.6)
+
+
+def shared_hash():
+    real = jaccard.set_hash
+
+    def few(sets, offsets, seed=0):
+        h = real(sets, offsets, seed)
+        return h if seed else h % np.uint64(5)
+
+    return few
+
+
+def test_keep_one_where_sets_share_a_hash(docs, monkeypatch):
+    want = sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect() if r.doc_id is not None)
+    monkeypatch.setattr(jaccard, "set_hash", shared_hash())
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect() if r.doc_id is not None) == want
+
+
+def test_tiles_hold_every_pair_once():
+    rng = np.random.default_rng(2)
+    r = np.zeros(400, jaccard._POSTING)
+    r["list"], r["set"], r["l"] = rng.integers(0, 6, 400), rng.integers(0, 90, 400), 1
+    r["key"] = r["list"]
+    blocks = np.array([1, 2, 3, 5, 7, 1])[r["list"]]
+    want = {(g, min(a, b), max(a, b)) for g in range(6) for a, b in combinations(set(r["set"][r["list"] == g].tolist()), 2)}
+
+    def found(r):
+        sent, begin, later = jaccard.partners(jaccard._sent(r))
+        left = np.repeat(np.arange(len(sent)), later)
+        right = textnp.ranges(begin, later)
+        s = sent["set"].astype(int)
+        assert (sent["list"][left] == sent["list"][right]).all()
+        return sorted(zip(np.minimum(s[left], s[right]).tolist(), np.maximum(s[left], s[right]).tolist()))
+
+    assert found(jaccard.tiled(r, blocks)) == found(r) == sorted((a, b) for _, a, b in want)
+
+
 def test_keep_one_of_each_group(docs, rows, empty):
     edges = brute_pairs(rows, 0.6)
     group = {i: i for i, _ in rows if i is not None}
@@ -352,6 +419,7 @@ def test_keep_one_of_each_group(docs, rows, empty):
     assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1
     assert kept.columns == docs.columns
     assert jaccard.keep_one(empty).collect() == [] and jaccard.join(empty).collect() == []
+    assert jaccard.join(empty).dtypes == [("doc_id", "bigint"), ("class", "bigint"), ("links", "bigint")]
 
 
 def test_components(spark):

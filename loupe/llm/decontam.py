@@ -10,7 +10,9 @@ Items go to the executors in groups of at most GROUP_WORDS words, one scan of th
 documents each, so what is broadcast has a bound whatever the benchmark's size.
 
 Defined results: items and documents without words (null or empty texts) match nothing;
-items with equal words are all reported; repeated rows are reported each; an empty table
+items with equal words are searched for once and all reported, an item row with a null item_id as null;
+repeated rows are reported each; of several stretches with the least distance the one that ends first is
+reported; texts of any length are searched whole; an empty table
 on either side gives an empty result; only doc_id, text, item_id are read.
 """
 
@@ -66,8 +68,12 @@ def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Index:
     """Pieces of a group of items, by length and hash."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], rate: float):
-        self.items = [(i, w, budget(len(w), rate)) for i, w in items if w]
+    def __init__(self, items: list[tuple[int | None, list[int]]], rate: float):
+        same: dict[tuple[int, ...], list[int | None]] = {}
+        for i, w in items:
+            if w:
+                same.setdefault(tuple(w), []).append(i)
+        self.items = [(ids, list(w), budget(len(w), rate)) for w, ids in same.items()]
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for n, (_, words, k) in enumerate(self.items):
             k = min(k, len(words) - 1)
@@ -98,7 +104,7 @@ class Index:
                     seen.setdefault((r, n), set()).add(p - offset)
         out: list[list[dict]] = [[] for _ in range(t.rows)]
         for (row, n), starts in sorted(seen.items()):
-            item, words, k = self.items[n]
+            ids, words, k = self.items[n]
             a, b = int(t.offsets[row]), int(t.offsets[row + 1])
             best = None
             reach = -1
@@ -112,7 +118,7 @@ class Index:
                 begin, reach = lo, hi
             best = self._better(best, words, t, begin, reach, a)
             if best[0] <= k:
-                out[row].append({"item_id": item, "distance": best[0], "end_token": best[1]})
+                out[row] += [{"item_id": i, "distance": best[0], "end_token": best[1]} for i in ids]
         return out
 
     @staticmethod
@@ -129,8 +135,8 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, rate: float = RATE, group_words: int = GROUP_WORDS) -> list[Index]:
-    rows = benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator()
-    groups: list[list[tuple[int, list[int]]]] = [[]]
+    rows = benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
+    groups: list[list[tuple[int | None, list[int]]]] = [[]]
     held = 0
     for item, text in rows:
         words = X.Tokens(pa.array([text], type=pa.large_string())).hash.tolist()

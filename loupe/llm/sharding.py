@@ -6,12 +6,18 @@ splitter is within tolerance or its bracket can't be divided any further.  The c
 rounds read a narrow table (key, tie-break, bytes) written once; the rows themselves move
 once, to the partition of their shard.
 
+Where there are more than COARSE boundaries, so many are refined over all partitions; the narrow table
+is then exchanged by the intervals between them, with rows of equal key summed up before, and the
+boundaries inside each are read off its running byte count.  So the driver holds COARSE x PROBES probes
+at most, and 16 bytes a shard at the end.
+
 The key is doc_id, ties are ordered by a hash of the text, so that even one repeated
 doc_id can be split over shards; rows equal in both stay together, and a shard then
 exceeds the tolerance by no more than such a group needs.
 
 Defined results: a null doc_id sorts as the least key; null and empty texts count their
-fixed overhead only; an empty table gives no rows; an input column named `shard` is
+fixed overhead only; repeated rows stay, in one shard; a row longer than a shard is in one whole, and
+the shards around it have fewer rows; an empty table gives no rows; an input column named `shard` is
 replaced, all others pass unchanged.
 """
 
@@ -30,6 +36,8 @@ SHARD_BYTES = 32 << 20
 ROW_BYTES = 16
 TOLERANCE = 0.02
 PROBES = 15
+#: The driver refines at most so many boundaries; more are found within the intervals between these, by one task each.
+COARSE = 4096
 _TOP = np.uint64(1 << 63)
 
 
@@ -57,6 +65,13 @@ class Splitters:
         return out
 
 
+def _sums(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sum of n by at, exact also beyond 2^53."""
+    halves = (np.bincount(at, weights=x, minlength=size).astype(np.int64) for x in (n >> 32, n & 0xFFFFFFFF))
+    high, low = halves
+    return (high << 32) + low
+
+
 def _below(narrow: DataFrame, probes: list[int]) -> list[int]:
     """Exact bytes below each probe; the driver gets one row for each interval between them."""
     cuts = Splitters(probes)
@@ -64,7 +79,7 @@ def _below(narrow: DataFrame, probes: list[int]) -> list[int]:
     def count(batches):
         total = np.zeros(len(probes) + 1, dtype=np.int64)
         for b in batches:
-            np.add.at(total, cuts.interval(b.column(0), b.column(1)), b.column(2).to_numpy())
+            total += _sums(cuts.interval(b.column(0), b.column(1)), b.column(2).to_numpy(), len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "bytes"])
 
@@ -80,7 +95,7 @@ def _tie(text: str = "text"):
 
 
 def splitters(
-    docs: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, probes: int = PROBES
+    docs: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE, probes: int = PROBES, coarse: int = COARSE
 ) -> list[int]:
     """Boundaries between shards; keys at or above the i-th are in a shard after i."""
     narrow = written(
@@ -97,9 +112,17 @@ def splitters(
     if total is None:
         return []
     shards = max(1, round(total / shard_bytes))
-    goal = [total * j // shards for j in range(1, shards)]
     slack = tolerance * total / shards
     first, last = (least + (1 << 63)) << 64, (most + (1 << 63) + 1) << 64
+    step = -(-shards // coarse)
+    found = _refined(narrow, [total * j // shards for j in range(step, shards, step)], first, last, total, slack, probes)
+    if step > 1:
+        found += _within(narrow, sorted(set(found)), total, shards)
+    return sorted({x for x in found if x != first})
+
+
+def _refined(narrow: DataFrame, goal: list[int], first: int, last: int, total: int, slack: float, probes: int) -> list[int]:
+    """The boundary for each wanted number of bytes below it, by probes between the two that enclose it."""
     bracket = [(first, 0, last, total) for _ in goal]
     found: list[int | None] = [None] * len(goal)
     while None in found:
@@ -121,7 +144,43 @@ def splitters(
             near, off, held = min(((lo, goal[j] - a, a), (hi, b - goal[j], b)), key=lambda x: x[1])
             if off <= slack or hi - lo <= 1:
                 found[j] = near if 0 < held < total else first  # no boundary without rows on both sides
-    return sorted({x for x in found if x != first})
+    return found
+
+
+def _within(narrow: DataFrame, coarse: list[int], total: int, shards: int) -> list[int]:
+    """The boundaries nearest to all wanted numbers of bytes, from the running count in each interval of coarse ones."""
+    cuts = Splitters(coarse)
+    base = [0, *_below(narrow, coarse)]
+
+    def place(key: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array(cuts.interval(key, tie), pa.int32())
+
+    def read(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, tie = (_unsigned(t[c].combine_chunks()) for c in ("k", "t"))
+        by = np.lexsort((tie, key))
+        key, tie, size = key[by], tie[by], t["bytes"].to_numpy()[by]
+        below = base[t["c"][0].as_py()] + np.cumsum(size) - size
+        end = below[-1] + size[-1]
+        goal = np.array([total * j // shards for j in range(below[0] * shards // total, end * shards // total + 1)], np.int64)
+        goal = goal[(goal > below[0]) & (goal < end)]
+        at = np.minimum(np.searchsorted(below, goal), len(below) - 1)
+        at = np.where((at > 0) & (goal - below[at - 1] <= np.abs(below[at] - goal)), at - 1, at)
+        at = np.unique(at[at > 0])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (key, tie)], ["high", "low"])
+
+    rows = (
+        narrow.groupBy("k", "t").agg(F.sum("bytes").alias("bytes"))
+        .withColumn("c", F.arrow_udf(place, "int")("k", "t"))
+        .repartitionById(len(coarse) + 1, F.col("c"))
+        .mapInArrow(read, "high bigint, low bigint")
+        .toArrow()
+    )
+    high, low = (rows[c].to_numpy().view(np.uint64).tolist() for c in ("high", "low"))
+    return [h << 64 | x for h, x in zip(high, low)]
 
 
 def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE) -> DataFrame:

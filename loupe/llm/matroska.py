@@ -8,9 +8,12 @@ one), its byte range in the container, and whether it is a key frame and has a c
 
 Defined results: a null or empty container has no packets; one that is cut short gives the
 packets that are whole; unknown elements and damaged blocks are skipped, and sizes that
-overrun their parent end there; elements of unknown size end with the parent's level;
-repeated rows are parsed each; an empty table gives an empty result; only the two columns
-named are read.
+overrun their parent end there; elements of unknown size end with the parent's level; a number of more
+than eight bytes is damaged, and blocks whose cluster's time is, or whose own time is outside 64 bits,
+are skipped; a duration outside 64 bits is null; packets of equal times keep the order of their bytes;
+very long containers are parsed whole, in one task each; repeated rows are parsed each; an
+empty table gives an empty result; only the two columns named are read, and a key column
+named like a field of the packets is called key_ and its name.
 """
 
 from __future__ import annotations
@@ -103,8 +106,13 @@ def elements(data: bytes, at: int, end: int, ends_at: frozenset[int] = frozenset
             at += size
 
 
-def number(data: bytes, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b], "big")
+def number(data: bytes, a: int, b: int) -> int | None:
+    """An unsigned integer, None if it is damaged."""
+    return int.from_bytes(data[a:b], "big") if b - a <= 8 else None
+
+
+def _fits(x: int | None) -> bool:
+    return x is not None and -(1 << 63) <= x < 1 << 63
 
 
 def frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
@@ -178,8 +186,7 @@ def _segment(data: bytes, start: int, end: int) -> list[Packet]:
             for k, _, x, y in elements(data, a, b):
                 if k == TRACK:
                     e = {kk: (xx, yy) for kk, _, xx, yy in elements(data, x, y)}
-                    if NUMBER in e:
-                        n = number(data, *e[NUMBER])
+                    if NUMBER in e and (n := number(data, *e[NUMBER])) is not None:
                         if CODEC in e:
                             codecs[n] = data[slice(*e[CODEC])].rstrip(b"\0").decode("ascii", "replace")
                         if DEFAULT in e:
@@ -193,13 +200,13 @@ def _segment(data: bytes, start: int, end: int) -> list[Packet]:
                             time = number(data, xx, yy)
                         elif kk == CUE_PLACE:
                             p = {k3: number(data, x3, y3) for k3, _, x3, y3 in elements(data, xx, yy)}
-                            places.append((p.get(CUE_TRACK, 0), p.get(CUE_CLUSTER, -1)))
+                            places.append((p.get(CUE_TRACK), p.get(CUE_CLUSTER)))
                     cues |= {(track, time, place) for track, place in places}
         elif kind == CLUSTER:
             clusters.append((begin - start, a, b))
     found: list[Packet] = []
     for place, a, b in clusters:
-        time = 0
+        time: int | None = 0
         for kind, _, x, y in elements(data, a, b):
             duration, key, block = None, True, None
             if kind == TIMESTAMP:
@@ -214,7 +221,7 @@ def _segment(data: bytes, start: int, end: int) -> list[Packet]:
                         duration = number(data, xx, yy)
                     elif k == REFERENCE:
                         key = False
-            if block is None:
+            if block is None or time is None:
                 continue
             try:
                 track, p = read_size(data, *block)
@@ -231,8 +238,11 @@ def _segment(data: bytes, start: int, end: int) -> list[Packet]:
             each = default.get(track)
             if duration is not None and len(laced) > 1 and each is None:
                 each = duration * scale // len(laced)
+            if not _fits(base) or not _fits(base + (len(laced) - 1) * (each or 0)):
+                continue
             for i, (s, n) in enumerate(laced):
                 length = each if each is not None else (duration * scale if duration is not None and len(laced) == 1 else None)
+                length = length if _fits(length) else None
                 found.append(
                     (track, codecs.get(track), base + i * (each or 0), length, s, n, key, i == 0 and (track, time + offset, place) in cues, i)
                 )
@@ -254,7 +264,8 @@ def packet_column(container: Column) -> Column:
 
 def packet_table(df: DataFrame, key: str, container: str) -> DataFrame:
     """One row for each packet: the key column and FIELDS."""
-    return df.select(F.col(key), F.explode(packet_column(F.col(container))).alias("p")).select(key, "p.*")
+    name = f"key_{key}" if key in FIELDS else key
+    return df.select(F.col(key).alias(name), F.explode(packet_column(F.col(container))).alias("p")).select(name, "p.*")
 
 
 # Writing, for tables that hold text and no media: each line is a packet of a subtitle track.

@@ -178,7 +178,7 @@ def fit(
         .join(sample, "doc_id")
         .select("label", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)).alias("fold"), stats("text").alias("s"))
         .select("label", "fold", *[F.col("s")[i].alias(n) for i, n in enumerate(names)])
-        .coalesce(8),
+        .repartition(8),
         "quality-sample",
     )
     row = table.agg(

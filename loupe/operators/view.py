@@ -28,6 +28,7 @@ from .actions import (
     Titlecase,
     Upper,
 )
+from ..sources.tables import spread
 from .scopers import Function, Scoper, Union
 
 log = logging.getLogger(__name__)
@@ -98,6 +99,15 @@ def format_column(path: Column, row: Column) -> Column:
 FRAGS, TEXT = "__lp_frags", "__lp_text"
 
 
+def unnested(df: DataFrame, keys: tuple[str, ...], items: Column, name: str, position: str = "__lp_at") -> DataFrame:
+    """One row for each item, with its position.
+
+    posexplode() would make the optimizer test the array's size below it, where the array's whole
+    expression is computed once more; posexplode_outer() doesn't, and its rows of empty arrays go here.
+    """
+    return df.select(*keys, F.posexplode_outer(items).alias(position, name)).where(F.col(position).isNotNull())
+
+
 class Scoped:
     """A DataFrame with one column under scoping; every method returns a new one.
 
@@ -204,15 +214,14 @@ class Scoped:
 
     def fragments(self, *keys: str) -> DataFrame:
         """Long form: keys, seg_idx, text, in_scope, caps."""
-        df = self.build().df
-        return df.select(*keys, F.posexplode(FRAGS).alias("seg_idx", "f")).select(*keys, "seg_idx", "f.*")
+        return unnested(self.build().df, keys, F.col(FRAGS), "f", "seg_idx").select(*keys, "seg_idx", "f.*")
 
     def lines(self, *keys: str, only_matching: bool = False) -> DataFrame:
         """Long form by line: keys, line_no, line, cols.  With only_matching, texts without a hit don't reach Python."""
         df = self.build().df
         frags = F.when(G.any_in_scope(F.col(FRAGS)), F.col(FRAGS)) if only_matching else F.col(FRAGS)
         rows = F.arrow_udf(_lines_of(only_matching), LINES)(frags)
-        return df.select(*keys, F.explode(rows).alias("l")).select(*keys, "l.*")
+        return unnested(df, keys, rows, "l").select(*keys, "l.*")
 
     def search(self, *keys: str) -> DataFrame:
         """The lines that have something in scope."""
@@ -227,7 +236,7 @@ class Scoped:
         rows = both.select(*keys, before.alias("__lp_b"), after.alias("__lp_a"))
         n = F.least(F.size("__lp_b"), F.size("__lp_a"))
         pairs = F.arrays_zip(F.slice("__lp_b", F.lit(1), n).alias("b"), F.slice("__lp_a", F.lit(1), n).alias("a"))
-        both = rows.select(*keys, F.posexplode(pairs).alias("pair", "p"))
+        both = unnested(rows, keys, pairs, "p", "pair")
         sides = F.array(
             F.struct(F.lit("before").alias("side"), F.col("p.b").alias("l")),
             F.struct(F.lit("after").alias("side"), F.col("p.a").alias("l")),
@@ -248,7 +257,7 @@ def _lines_of(only_matching: bool) -> Callable[[pa.Array], pa.Array]:
 
 def scoped(df: DataFrame, column: str = "text") -> Scoped:
     """Start scoping a column; the whole text is in scope."""
-    df = df.withColumn(TEXT, F.col(column))
+    df = spread(df).withColumn(TEXT, F.col(column))
     return Scoped(df.withColumn(FRAGS, G.whole(F.col(TEXT))), None, False)
 
 

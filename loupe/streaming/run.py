@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.request import Request
+from ..sources.tables import shared_folder
 
 
 def rewrite_stream(spark: SparkSession, path: str, request: Request, columns: list[str], column: str = "text") -> DataFrame:
     """Rewrite everything under path as a stream of files until none is left; the result is read from the sink."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loupe-")
-    target = f"{folder.rstrip('/')}/loupe-stream-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/loupe-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # a stream reads folders; a single file is found in its own by name
     single = os.path.isfile(path.removeprefix("file://"))

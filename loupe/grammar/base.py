@@ -36,6 +36,19 @@ class Node:
         return next((c for c in self.children if c.field == name), None)
 
 
+def enclosing(match: dict[int, int], n: int) -> list[int]:
+    """For each of n tokens the innermost matched bracket around it, -1 without one."""
+    out, stack = [-1] * n, [-1]
+    for i in range(n):
+        other = match.get(i, i)
+        if other < i:
+            stack.pop()
+        out[i] = stack[-1]
+        if other > i:
+            stack.append(i)
+    return out
+
+
 def nest(nodes: list[Node], root: Node) -> Node:
     """Build the tree: a node belongs to the smallest one around it; of equal ranges the earlier is outside."""
     order = sorted(range(len(nodes)), key=lambda i: (nodes[i].start, -nodes[i].end, i))
@@ -50,7 +63,7 @@ def nest(nodes: list[Node], root: Node) -> Node:
     return root
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Token:
     kind: str  # ident, number, punct, comment, string, or what a lexer calls it
     start: int
@@ -68,9 +81,15 @@ class Braces:
         self.source = source
         self.all: list[Token] = list(self.lex())
         self.t = [x for x in self.all if x.kind != "comment"]
-        self.match = self._brackets()
+        self.index()
         self.nodes: list[Node] = []
 
+    def index(self) -> None:
+        """What is looked up by token; to be called again if the tokens change."""
+        self.size = len(self.t)
+        self.match = self._brackets()
+        self.around = enclosing(self.match, self.size)
+
     @classmethod
     def _pattern(cls) -> re.Pattern:
         if "_compiled" not in cls.__dict__:
@@ -78,16 +97,19 @@ class Braces:
         return cls._compiled
 
     def lex(self) -> Iterable[Token]:
-        pattern, at = self._pattern(), 0
-        while at < len(self.source):
-            m = pattern.match(self.source, at)
-            if m is None or m.end() == at:
+        match, source, at, size = self._pattern().match, self.source, 0, len(self.source)
+        extend = None if type(self).extend is Braces.extend else self.extend
+        while at < size:
+            m = match(source, at)
+            end = m.end() if m else at
+            if end == at:
                 at += 1
                 continue
             kind = m.lastgroup
-            end = self.extend(kind, m.start(), m.end())
+            if extend:
+                end = extend(kind, at, end)
             if kind != "space":
-                yield Token(kind, m.start(), end, self.source[m.start() : end])
+                yield Token(kind, at, end, source[at:end])
             at = end
 
     def extend(self, kind: str, start: int, end: int) -> int:
@@ -111,7 +133,7 @@ class Braces:
     # Moving over tokens
 
     def is_(self, i: int, *texts: str) -> bool:
-        return 0 <= i < len(self.t) and self.t[i].text in texts
+        return 0 <= i < self.size and self.t[i].text in texts
 
     def ident(self, i: int) -> bool:
         return 0 <= i < len(self.t) and self.t[i].kind == "ident"
@@ -120,9 +142,17 @@ class Braces:
         """Behind the token or the bracketed group at i."""
         return self.match.get(i, i) + 1 if self.is_(i, "(", "[", "{") else i + 1
 
-    def until(self, i: int, *stops: str) -> int:
-        """The first of the stops at this level from i on, or where the level ends."""
-        while i < len(self.t) and not self.is_(i, *stops):
+    def within(self, i: int, bracket: str) -> int:
+        """The innermost bracket of this kind around i, -1 without one."""
+        i = self.around[i]
+        while i >= 0 and self.t[i].text != bracket:
+            i = self.around[i]
+        return i
+
+    def until(self, i: int, *stops: str, limit: int | None = None) -> int:
+        """The first of the stops at this level from i on, or where the level or the limit ends."""
+        limit = len(self.t) if limit is None else limit
+        while i < limit and not self.is_(i, *stops):
             if self.is_(i, ")", "]", "}"):
                 return i
             i = self.skip(i)

@@ -57,9 +57,7 @@ class Parser(Braces):
         if self.is_(i - 1, ".", "->"):
             return True
         # a member declared in a structure
-        j = i
-        while j >= 0 and not (self.is_(j, "{") and self.match.get(j, -1) > i):
-            j = self.match.get(j, j) - 1 if self.is_(j, "}", ")", "]") else j - 1
+        j = self.within(i, "{")
         return j > 0 and (self.is_(j - 1, "struct", "union") or self.is_(j - 2, "struct", "union")) and self.is_(i + 1, ";", ",", "[", ":")
 
     def _type(self, x) -> bool:
@@ -130,7 +128,7 @@ class Parser(Braces):
         return self.is_(i - 1, ";", "}", "else", "do") and not self._in_parens(i)
 
     def _in_parens(self, i: int) -> bool:
-        return any(self.t[a].text == "(" and a < i < b for a, b in self.match.items() if a < b and self.t[a].text == "(")
+        return self.within(i, "(") >= 0
 
     def _declares(self, i: int) -> bool:
         """Whether the name at i before a parenthesis is being declared."""
@@ -193,7 +191,8 @@ class Parser(Braces):
             self.add("declaration", i, self.until(k, ";") + 1)
 
     def _in_struct(self, i: int) -> bool:
-        best = max((a for a, b in self.match.items() if a < i < b and self.t[a].text == "{"), default=None)
+        best = self.within(i, "{")
+        best = None if best < 0 else best
         return best is not None and (self.is_(best - 1, "struct", "union") or self.is_(best - 2, "struct", "union"))
 
 

@@ -87,8 +87,8 @@ class Parser(Braces):
 
     def _level(self, i: int) -> tuple[str, int]:
         """What the innermost braces around i are: a type, code, or the file."""
-        around = max((a for a, b in self.match.items() if a < i < b and self.t[a].text in "{(["), default=None)
-        if around is None:
+        around = self.around[i]
+        if around < 0:
             return "file", -1
         if not self.is_(around, "{"):
             return "group", around

@@ -32,7 +32,7 @@ class Parser(Braces):
         # line ends matter only where they end statements
         self.ends = {x.start for x in self.t if x.kind == "newline"}
         self.t = [x for x in self.t if x.kind != "newline"]
-        self.match = self._brackets()
+        self.index()
         self.all = [x for x in self.all if x.kind != "newline"]
 
     def leaf(self, x):
@@ -65,10 +65,9 @@ class Parser(Braces):
         between = self.source[self.t[i - 1].end : self.t[i].start]
         if "\n" not in between:
             return False
-        around = [a for a, b in self.match.items() if a < i < b]
-        if not around:
+        a = self.around[i]
+        if a < 0:
             return True
-        a = max(around)
         return self.is_(a, "{") and not self._literal(a)
 
     def _literal(self, a: int) -> bool:

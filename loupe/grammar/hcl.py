@@ -100,7 +100,7 @@ class Parser(Braces):
 
     def tree(self) -> Node:
         self.t = [x for x in self.all if x.kind != "comment"]
-        self.match = self._brackets()
+        self.index()
         self.mark = {}
         for x in self.all:
             if x.kind == "comment":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import Node, Query, Token, either, fields, kinds, nest
+from .base import Node, Query, Token, either, enclosing, fields, kinds, nest
 
 _PREFIX = r"(?i:rb|br|fr|rf|tr|rt|[rbfut])?"
 _LEX = re.compile(
@@ -32,6 +32,7 @@ class Parser:
             elif x.kind == "punct" and x.text in ")]}" and stack:
                 a = stack.pop()
                 self.match[a], self.match[i] = i, a
+        self.around = enclosing(self.match, len(self.t))
         self.field: dict[tuple[int, int], str] = {}
         self.soft: set[int] = set()  # where match, case and type are keywords
 
@@ -304,16 +305,11 @@ class Parser:
                 self.field[(x.start, x.end)] = "function"
 
     def closing(self, i: int) -> int:
-        depth = 0
-        for k in range(i, len(self.t)):
-            if self.t[k].kind == "punct":
-                depth += (self.t[k].text in "([{") - (self.t[k].text in ")]}")
-                if depth < 0:
-                    return k
-        return len(self.t)
+        around = self.around[i]
+        return self.match[around] if around >= 0 else len(self.t)
 
     def inside(self, i: int) -> bool:
-        return any(a < i < b for a, b in self.match.items() if a < b)
+        return self.around[i] >= 0
 
 
 def parse(source: str) -> Node:

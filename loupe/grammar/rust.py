@@ -65,6 +65,8 @@ class Parser(Braces):
         if x.kind != "ident" or x.text in self.KEYWORDS:
             return None
         i = self._at(x)
+        if self._in_tree(i):
+            return Node("identifier", x.start, x.end)
         if self.is_(i - 1, ".") and not self.is_(i + 1, "(") or self.is_(i - 1, "."):
             return Node("field_identifier", x.start, x.end)
         if self._type(i):
@@ -76,6 +78,19 @@ class Parser(Braces):
             self._index = {id(y): i for i, y in enumerate(self.t)}
         return self._index[id(x)]
 
+    def _in_tree(self, i):
+        """Whether the token is in the arguments of an attribute or a macro, which aren't parsed any further."""
+        if not hasattr(self, "_trees"):
+            self._trees = set()
+            for a, b in self.match.items():
+                if a < b and (self.is_(a, "[") and (self.is_(a - 1, "#") or self.is_(a - 2, "#") and self.is_(a - 1, "!"))):
+                    inner = next((k for k in range(a + 1, b) if self.is_(k, "(", "{", "[", "=")), b)
+                    if not self.is_(inner, "="):
+                        self._trees.update(range(inner, b))
+                elif a < b and self.is_(a - 1, "!") and self.ident(a - 2):
+                    self._trees.update(range(a, b))
+        return i in self._trees
+
     def _type(self, i):
         text = self.t[i].text
         return self.is_(i - 1, "struct", "enum", "trait", "impl", "union", "type") or text[0].isupper() and not text.isupper() and not self.is_(i + 1, "(", "!", "::") and not self.is_(i - 1, "::")

@@ -192,7 +192,7 @@ class Parser(Braces):
         a = i + 1
         stop_all = end - 1 if self.is_(end - 1, ";") else end
         while a < stop_all:
-            stop = min(self.until(a, ","), stop_all)
+            stop = min(self.until(a, ",", limit=stop_all), stop_all)
             if stop > a:
                 self.add("variable_declarator", a, stop, name=a)
             a = stop + 1

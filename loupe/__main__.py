@@ -7,14 +7,22 @@ import logging
 import os
 import sys
 
+from . import completions
 from .operators.actions import GREEN_BOLD, RED_BOLD
 from .operators.view import NoFiles, NothingInScope, SomethingInScope, format_hit
 from .plans.request import Request, UsageError
 from .sources import files
 
+log = logging.getLogger("loupe")
+
 LANGUAGES = {"c": (), "csharp": ("cs",), "go": (), "hcl": (), "python": ("py",), "rust": ("rs",), "typescript": ("ts",)}
 
 
+def flag(value: str | None) -> bool:
+    """What a flag's environment variable says; anything but these words is true."""
+    return (value or "false").lower() not in ("n", "no", "f", "false", "off", "0")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("loupe", description=__doc__)
     p.add_argument("scope", nargs="?")
@@ -26,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
         ("H", "hidden", "hidden files too"),
     ):
         names = [f"-{short}", f"--{name}"] + (["--squeeze-repeats"] if name == "squeeze" else [])
-        p.add_argument(*names, action="store_true", help=text, default=bool(os.environ.get(name.upper().replace("-", "_"))))
+        p.add_argument(*names, action="store_true", help=text, default=flag(os.environ.get(name.upper().replace("-", "_"))))
     for name in ("dry-run", "fail-any", "fail-none", "line-numbers", "only-matching", "gitignored", "sorted", "german-prefer-original", "german-naive"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--fail-no-files", "--fail-empty-glob", action="store_true")
@@ -34,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threads", type=int)
     p.add_argument("--stdin-detection", choices=("auto", "force-readable", "force-unreadable"), default="auto")
     p.add_argument("--stdout-detection", choices=("auto", "force-tty", "force-pipe"), default="auto")
+    p.add_argument("--completions", choices=completions.SHELLS, help="print a completion script and exit")
     p.add_argument("-v", "--verbose", action="count", default=0)
     for name, other in LANGUAGES.items():
         flags = [name, *other]
@@ -70,6 +79,9 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         replacement = rest[0] if rest else None
     args = parser().parse_args(argv)
+    if args.completions:
+        print(completions.script(parser(), args.completions))
+        return 0
     logging.basicConfig(level=max(logging.DEBUG, logging.ERROR - 10 * args.verbose))
     try:
         ask = request(args, replacement)
@@ -83,25 +95,44 @@ def main(argv: list[str] | None = None) -> int:
     try:
         stdin = readable or not (args.glob or ask.language)
         if stdin:
-            df = files.read_stdin(spark, sys.stdin.buffer.read())
+            if args.glob:
+                log.error("reading standard input; the files asked for are ignored")
+            raw, df = None, files.read_stdin(spark, sys.stdin.buffer.read())
         else:
-            df = files.read_files(spark, ".", args.glob, ask.language, args.hidden, args.gitignored, args.sorted)
-        if ask.search_mode or ask.only_matching or ask.line_numbers:
-            rows = ask.search(df, "path")
+            root = os.getcwd()
+            raw = files.read_raw(spark, root, args.glob, ask.language, args.hidden, args.gitignored).persist()
+            df = files.texts_of(raw, None if args.glob else ask.language)
+        lines = ask.search_mode or ask.only_matching or ask.line_numbers
+        if raw is not None:
+            failed = False
+            for r in files.skipped(raw).orderBy("path").toLocalIterator():
+                failed |= r.error is not None
+                if r.error is None:
+                    log.warning("not UTF-8, skipped: %s", r.path)
+                else:
+                    log.error("can't be read: %s: %s", r.path, r.error)
+            if failed and not lines:
+                print("nothing was changed, as files can't be read", file=sys.stderr)
+                return 1
+            log.info("Saw %d items", raw.count() if log.isEnabledFor(logging.INFO) else 0)
+        if lines:
+            rows = ask.search(df, "path", strict=True)
             order = ["path", "pair", "line_no"] if ask.dry_run else ["path", "line_no"]
             for r in rows.orderBy(*order).toLocalIterator():
                 print(paint(r, ask) if tty else format_hit(r.path, r.line_no, r.line, r.cols))
+            sys.stdout.flush()
         elif stdin:
             sys.stdout.write(ask.run(df).first().text)
         else:
             from pyspark.sql import functions as F
 
-            if ask.fail_any or ask.fail_none or ask.fail_no_files:
-                ask.run(df)
+            ask.check(df)
             changed = ask.act(ask.view(df)).changed().select("path", F.col("text")).persist()
-            files.write_changed(changed, ".")
+            files.write_changed(changed, root)
             for r in changed.select("path").orderBy("path").toLocalIterator():
                 print(r.path)
+    except BrokenPipeError:  # the reader has seen enough
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
     except (NothingInScope, SomethingInScope, NoFiles, UnicodeDecodeError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -6,7 +6,7 @@ where they exist; run() applies it to a DataFrame of texts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,9 +169,8 @@ class Request:
 
     def run(self, df: DataFrame, column: str = "text", name: str | None = None) -> DataFrame:
         """df with the new text."""
+        self.check(df, column)
         v = self.view(df, column)
-        if self.fail_any or self.fail_none or self.fail_no_files:
-            check_scope(v, self.fail_any, self.fail_none, self.fail_no_files)
         short = self.shortcut(column)
         acted = self.act(v).build()
         new = acted.text()
@@ -179,10 +178,16 @@ class Request:
             new = F.when(~F.col(column).contains("\r"), short).otherwise(new)
         return acted.df.withColumn(name or column, new).drop(FRAGS, TEXT)
 
-    def search(self, df: DataFrame, *keys: str, column: str = "text") -> DataFrame:
+    def check(self, df: DataFrame, column: str = "text", strict: bool = False) -> None:
+        """Raise as the flags ask; strict: in search mode to find nothing is a failure, too."""
+        none = self.fail_none or strict and self.search_mode
+        if self.fail_any or none or self.fail_no_files:
+            check_scope(self.view(df, column), self.fail_any, none, self.fail_no_files)
+
+    def search(self, df: DataFrame, *keys: str, column: str = "text", strict: bool = False) -> DataFrame:
         """Lines: with a dry run those before and after, else those that have something in scope."""
-        request = replace(self, fail_none=True) if self.search_mode else self
-        v = request.view(self.prefilter(df, column), column)
+        self.check(df, column, strict)  # on all texts, before those without a hit are dropped
+        v = self.view(self.prefilter(df, column), column)
         if self.dry_run:
             return v.dry_run(self.act, *keys)
         return self.act(v).lines(*keys, only_matching=self.search_mode or self.only_matching)

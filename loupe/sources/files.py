@@ -106,7 +106,15 @@ class Ignore:
             i = 0
             line = line.removeprefix("/")
             while i < len(line):
-                if line.startswith("**/", i):
+                end = line.find("]", i + 2 + (line[i + 1 : i + 2] in ("!", "^"))) if line[i] == "[" else -1
+                if end > 0:
+                    inside = line[i + 1 : end]
+                    negated = inside[0] in "!^"
+                    inside = re.sub(r"([\\\[&~|])", r"\\\1", inside[negated:])
+                    body, i = body + f"(?!/)[{'^' * negated}{inside}]", end + 1
+                elif line[i] == "\\" and i + 1 < len(line):
+                    body, i = body + re.escape(line[i + 1]), i + 2
+                elif line.startswith("**/", i):
                     body, i = body + "(?:.*/)?", i + 3
                 elif line.startswith("/**", i) and i + 3 == len(line):
                     body, i = body + "/.*", i + 3
@@ -126,86 +134,189 @@ class Ignore:
         return None
 
 
+def _rules(path: str) -> Ignore | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return Ignore(f.read())
+    except OSError:
+        return None
+
+
+def _above(root: str, gitignored: bool) -> tuple[list[tuple[str, Ignore]], bool]:
+    """Rules from outside the root, the weakest first, each with its folder; and whether git's rules apply."""
+    folder, up = os.path.abspath(root), []
+    while True:
+        up.append(folder)
+        parent = os.path.dirname(folder)
+        if parent == folder:
+            break
+        folder = parent
+    top = next((i for i, f in enumerate(up) if os.path.exists(os.path.join(f, ".git"))), None)
+    git = top is not None and not gitignored
+    found: list[tuple[str, Ignore | None]] = []
+    if git:
+        config = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+        found.append((up[top], _rules(os.path.join(config, "git", "ignore"))))
+        found.append((up[top], _rules(os.path.join(up[top], ".git", "info", "exclude"))))
+    for i in range(len(up) - 1, 0, -1):
+        if git and i <= top:
+            found.append((up[i], _rules(os.path.join(up[i], ".gitignore"))))
+        found.append((up[i], _rules(os.path.join(up[i], ".ignore"))))
+    return [(f, r) for f, r in found if r is not None], git
+
+
+def _ignored(path: str, folder: bool, rules: list[tuple[str, Ignore]]) -> bool:
+    """Whether the last rule that says anything ignores the path; both are below the rules' folders."""
+    for base, rule in reversed(rules):
+        said = rule.verdict(os.path.relpath(path, base) if base else path, folder)
+        if said is not None:
+            return said
+    return False
+
+
 def walk(root: str, hidden: bool = False, gitignored: bool = False) -> Iterator[str]:
-    """Paths of files under root, relative to it."""
+    """Paths of files under root, relative to it.
+
+    Rules come from .ignore files, and within a repository from .gitignore files, the repository's
+    exclude file and the user's; files in folders above the root count, those further down win.
+    """
+    root = os.path.abspath(root)
+    outside, git = _above(root, gitignored)
 
     def visit(folder: str, above: list[tuple[str, Ignore]]) -> Iterator[str]:
-        rules = above
-        marks = os.path.join(root, folder, ".gitignore")
-        if not gitignored and os.path.isfile(marks):
-            with open(marks, encoding="utf-8", errors="replace") as f:
-                rules = [*above, (folder, Ignore(f.read()))]
-        for entry in os.scandir(os.path.join(root, folder)):
+        here = os.path.join(root, folder) if folder else root
+        own = [_rules(os.path.join(here, name)) for name in ((".gitignore",) if git else ()) + (".ignore",)]
+        rules = [*above, *((here, r) for r in own if r is not None)]
+        for entry in os.scandir(here):
             if entry.name.startswith(".") and not hidden:
                 continue
-            path = os.path.join(folder, entry.name) if folder else entry.name
             is_folder = entry.is_dir(follow_symlinks=False)
-            said = None
-            for base, rule in reversed(rules):
-                said = rule.verdict(os.path.relpath(path, base) if base else path, is_folder)
-                if said is not None:
-                    break
-            if said:
+            if entry.name == ".git" or _ignored(os.path.join(here, entry.name), is_folder, rules):
                 continue
+            path = os.path.join(folder, entry.name) if folder else entry.name
             if is_folder:
                 yield from visit(path, rules)
             elif entry.is_file():
                 yield path
 
-    yield from visit("", [])
+    yield from visit("", outside)
+
+
+RAW = "path string, content binary, error string"
 
 
 def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(path, content) of local files; the folder must be one that all executors see."""
+    """(path, content, error) of files under a folder that all executors see, or a URI that pyarrow knows."""
 
     def read(batches):
+        store, base = _store(root)
         for b in batches:
             for p in b.column(0).to_pylist():
+                content = error = None
                 try:
-                    with open(os.path.join(root, p), "rb") as f:
-                        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([f.read()], pa.binary())], ["path", "content"])
-                except OSError:
-                    continue
+                    if store is None:
+                        with open(os.path.join(base, p), "rb") as f:
+                            content = f.read()
+                    else:
+                        with store.open_input_stream(f"{base}/{p}") as f:
+                            content = f.read()
+                except OSError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["path", "content", "error"]
+                )
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     wide = spark.sparkContext.defaultParallelism * 4
-    return listed.repartition(max(1, min(len(paths), wide))).mapInArrow(read, "path string, content binary")
+    return listed.repartition(max(1, min(len(paths), wide))).mapInArrow(read, RAW)
+
+
+def _store(root: str):
+    """(file system, path) of a URI; a local folder has no file system."""
+    if "://" not in root:
+        return None, root
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    return store, base.rstrip("/")
+
+
+def walk_far(root: str, hidden: bool = False, gitignored: bool = False) -> list[str]:
+    """walk() of a URI: one listing, and the ignore files found in it.  There is no repository to ask, so .gitignore always counts."""
+    from pyarrow import fs
+
+    store, base = _store(root)
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    paths = [f.path[len(base) :].lstrip("/") for f in found if f.type == fs.FileType.File]
+    rules: list[tuple[str, Ignore]] = []
+    for p in paths:
+        folder, name = os.path.split(p)
+        if name == ".ignore" or name == ".gitignore" and not gitignored:
+            with store.open_input_stream(f"{base}/{p}") as f:
+                rules.append((folder, Ignore(f.read().decode("utf-8", "replace"))))
+    rules.sort(key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
+
+    def passes(path: str) -> bool:
+        parts = path.split("/")
+        if ".git" in parts or not hidden and any(p.startswith(".") for p in parts):
+            return False
+        for i in range(1, len(parts) + 1):
+            at = "/".join(parts[:i])
+            if _ignored(at, i < len(parts), [(f, r) for f, r in rules if not f or at.startswith(f + "/")]):
+                return False
+        return True
+
+    return [p for p in paths if passes(p)]
+
+
+def read_raw(
+    spark: SparkSession, root: str, glob: str | None = None, language: str | None = None, hidden: bool = False, gitignored: bool = False
+) -> DataFrame:
+    """(path, content, error) of the files under root whose paths pass all filters.
+
+    A glob overrides the language's rule.  Paths are filtered before anything is opened.
+    """
+    root = root.removeprefix("file://")
+    paths = walk_far(root, hidden, gitignored) if "://" in root else list(walk(root, hidden, gitignored))
+    if glob is not None:
+        paths = [p for p in paths if re.match(glob_pattern(glob), p)]
+    elif language:
+        by_interpreter = language in INTERPRETERS
+        fits = tuple("." + e for e in EXTENSIONS[language])
+        veto = re.compile(VETOES.get(language, r"(?!)"))
+        paths = [
+            p for p in paths
+            if not veto.search(p) and (p.endswith(fits) or by_interpreter and "." not in os.path.basename(p).lstrip("."))
+        ]
+    return read_paths(spark, root, paths)
+
+
+def texts_of(raw: DataFrame, language: str | None = None) -> DataFrame:
+    """(path, text) of what could be read and is UTF-8, and of the language, if one is given."""
+    texts = raw.where(F.is_valid_utf8(F.col("content"))).select("path", F.col("content").cast("string").alias("text"))
+    return texts.where(is_candidate(F.col("path"), F.col("text"), language)) if language else texts
+
+
+def skipped(raw: DataFrame) -> DataFrame:
+    """(path, error): what texts_of() leaves out, with a null error where it isn't UTF-8."""
+    return raw.where("error is not null").select("path", "error").unionByName(
+        raw.where(~F.is_valid_utf8(F.col("content"))).select("path", F.lit(None).cast("string").alias("error"))
+    )
 
 
 def read_files(
     spark: SparkSession, root: str, glob: str | None = None, language: str | None = None, hidden: bool = False,
-    gitignored: bool = False, sort: bool = False,
+    gitignored: bool = False, sort: bool = False, strict: bool = False,
 ) -> DataFrame:
     """(path, text) of the files under root that pass all filters; those that aren't UTF-8 are left out.
 
-    A glob overrides the language's rule.  Paths are filtered before anything is opened.
+    Files that can't be read are left out, too, or with `strict` fail the query, as a rewrite should.
     """
-    if "://" in root and not root.startswith("file://"):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        listed = files.load(root).select("path")
-        if glob is not None:
-            listed = listed.where(F.col("path").rlike(glob_pattern(glob)))
-        elif language and language not in INTERPRETERS:
-            listed = listed.where(is_candidate(F.col("path"), F.lit(""), language))
-        paths = [r.path for r in listed.collect()]  # the driver has listed them already
-        raw = files.load(paths).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
-    else:
-        root = root.removeprefix("file://")
-        paths = list(walk(root, hidden, gitignored))
-        if glob is not None:
-            paths = [p for p in paths if re.match(glob_pattern(glob), p)]
-        elif language:
-            by_interpreter = language in INTERPRETERS
-            fits = tuple("." + e for e in EXTENSIONS[language])
-            veto = re.compile(VETOES.get(language, r"(?!)"))
-            paths = [
-                p for p in paths
-                if not veto.search(p) and (p.endswith(fits) or by_interpreter and "." not in os.path.basename(p).lstrip("."))
-            ]
-        raw = read_paths(spark, root, paths)
-    texts = raw.where(F.is_valid_utf8(F.col("content"))).select("path", F.col("content").cast("string").alias("text"))
-    if language and glob is None:
-        texts = texts.where(is_candidate(F.col("path"), F.col("text"), language))
+    raw = read_raw(spark, root, glob, language, hidden, gitignored)
+    if strict:
+        failed = F.raise_error(F.concat(F.lit("can't read "), "path", F.lit(": "), "error"))
+        raw = raw.withColumn("content", F.when(F.col("error").isNotNull(), failed.cast("binary")).otherwise(F.col("content")))
+    texts = texts_of(raw, language if glob is None else None)
     return texts.orderBy("path") if sort else texts
 
 

@@ -253,7 +253,7 @@ def test_interpreter(spark, first, program):
 def test_files(spark, tmp_path):
     for name, content in {
         "a.py": b"x = 1\n", "b.txt": b"x", "run": b"#!/usr/bin/env python3\n", "bad.py": b"\xff", ".hid.py": b"h", "skip/c.py": b"c", "d/e.py": b"e",
-        ".gitignore": b"skip/\n*.log\n!keep.log\n", "x.log": b"l", "keep.log": b"k", "vendor/v.go": b"package v", "g.go": b"package g",
+        ".git/HEAD": b"", ".gitignore": b"skip/\n*.log\n!keep.log\n", "x.log": b"l", "keep.log": b"k", "vendor/v.go": b"package v", "g.go": b"package g",
     }.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)

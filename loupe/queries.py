@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranges as R
+from .grammar import samples
 from .operators import actions as A
 from .operators import scopers as S
-from .operators.view import format_column, scoped
+from .operators.view import NoFiles, NothingInScope, SomethingInScope, check_scope, format_column, scoped
 from .plans.request import Request
 from .sources import files
+from .sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +126,11 @@ def normalize_marks(spark, sf_dir):
     return Request(normalize=True).run(documents(spark, sf_dir))
 
 
-@query()
+@query(
+    """SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)https://[^ "\\n]*[ "]?|---|-->|--|->|<--|<->|<-|<=|>=|!=|=>|[^h\\-<>!=]+|.'),
+lambda t: CASE t WHEN '--' THEN '–' WHEN '---' THEN '—' WHEN '->' THEN '→' WHEN '<-' THEN '←' WHEN '-->' THEN '⟶' WHEN '<--' THEN '⟵' WHEN '<->' THEN '↔'
+WHEN '=>' THEN '⇒' WHEN '!=' THEN '≠' WHEN '<=' THEN '≤' WHEN '>=' THEN '≥' ELSE t END), '') AS text FROM pages"""
+)
 def symbols_apply(spark, sf_dir):
     df = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return scoped(df).scope(S.Lines()).symbols().to_text()
@@ -138,7 +149,7 @@ def symbols_roundtrip(spark, sf_dir):
     return view.symbols().invert_symbols().to_text()
 
 
-@query()
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS text FROM part")
 def titlecase_names(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
     return Request(titlecase=True).run(df)
@@ -179,14 +190,27 @@ def dry_run_pairs(spark, sf_dir):
     return Request("nn", literal=True, replacement="N", dry_run=True).search(documents(spark, sf_dir), "doc_id").drop("cols")
 
 
-@query("""SELECT count(*) AS seen, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{3}')) AS found,
-count(*) FILTER (WHERE regexp_matches(text, '[0-9]{3}')) > 0 AS fail_any, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{3}')) = 0 AS fail_none FROM documents""")
+@query("""SELECT 'all' AS input, coalesce(bool_or(regexp_matches(text, '[0-9]{3}')), false) AS fail_any,
+NOT coalesce(bool_or(regexp_matches(text, '[0-9]{3}')), false) AS fail_none, count(*) = 0 AS fail_no_files FROM documents
+UNION ALL SELECT 'clean', false, true, count(*) = 0 FROM documents WHERE NOT regexp_matches(text, '[0-9]')
+UNION ALL SELECT 'none', false, true, true""")
 def fail_flags(spark, sf_dir):
-    view = scoped(documents(spark, sf_dir)).scope(S.Regex("[0-9]{3}", False)).build()
-    found = F.count_if(F.col("hit"))
-    return view.df.select(view.has_any_in_scope().alias("hit")).agg(
-        F.count("*").alias("seen"), found.alias("found"), (found > 0).alias("fail_any"), (found == 0).alias("fail_none")
-    )
+    """Which flags would end a run over all documents, and over those without a digit."""
+
+    def raised(df, kind, **flag):
+        try:
+            check_scope(scoped(df).scope(S.Regex("[0-9]{3}", False)), **flag)
+        except kind:
+            return True
+        return False
+
+    docs = documents(spark, sf_dir)
+    clean, none = docs.where(~F.col("text").rlike("[0-9]")), docs.where(F.lit(False))
+    rows = [
+        (name, raised(df, SomethingInScope, fail_any=True), raised(df, NothingInScope, fail_none=True), raised(df, NoFiles, fail_empty=True))
+        for name, df in (("all", docs), ("clean", clean), ("none", none))
+    ]
+    return spark.createDataFrame(rows, "input string, fail_any boolean, fail_none boolean, fail_no_files boolean")
 
 
 @query("SELECT doc_id, replace(text, 'Licensed', 'LICENSED') AS text, text AS old_text FROM documents WHERE contains(text, 'Licensed')")
@@ -194,11 +218,21 @@ def changed_only(spark, sf_dir):
     return scoped(documents(spark, sf_dir)).scope(S.Literal("Licensed")).upper().changed()
 
 
-@query("SELECT doc_id, count(*) AS n FROM documents WHERE regexp_replace(text, '(?s).', '', 'g') = '' AND len(text) > 0 GROUP BY doc_id")
+@query("""SELECT 'everything' AS deleted, count(*) > 0 AS refused FROM documents WHERE len(text) > 0
+UNION ALL SELECT 'letters', count(*) > 0 FROM documents WHERE len(text) > 0 AND regexp_full_match(text, '[a-z]+')""")
 def wipe_guard(spark, sf_dir):
-    """What the guard would refuse: nonempty texts that a deletion of everything leaves empty."""
-    view = scoped(documents(spark, sf_dir)).scope(S.Regex("(?s).+", False)).delete()
-    return view.df.where((view.text() == "") & (F.length("text") > 0)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Whether a rewrite is refused because it would leave a text empty."""
+
+    def refused(pattern):
+        try:
+            scoped(documents(spark, sf_dir)).scope(S.Regex(pattern, False)).delete().changed().agg(F.max(F.length("text"))).collect()
+        except PySparkException as e:
+            if "refusing to wipe" not in str(e):
+                raise
+            return True
+        return False
+
+    return spark.createDataFrame([("everything", refused("(?s).+")), ("letters", refused("[a-z]"))], "deleted string, refused boolean")
 
 
 @query("SELECT doc_id, replace(upper(text), chr(10), chr(13) || chr(10)) AS text FROM documents")
@@ -255,6 +289,103 @@ def path_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").where(F.col("url").rlike(r"/(de|fr)/[^?]*$"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'python' WHEN doc_id % 5 = 1 THEN 'go' WHEN doc_id % 5 = 2 THEN 'python' END AS language FROM documents""")
+def language_filter(spark, sf_dir):
+    """Files by extension, interpreter and veto: which language takes them."""
+    n = F.col("doc_id")
+    name = F.when(n % 5 == 0, F.lit("src/a.py")).when(n % 5 == 1, F.lit("cmd/a.go")).when(n % 5 == 2, F.lit("bin/run")).when(n % 5 == 3, F.lit("vendor/a.go"))
+    df = documents(spark, sf_dir).select("doc_id", F.coalesce(name, F.lit("py/notes.txt")).alias("path"), F.concat(F.lit("#!/usr/bin/env python3\n"), "text").alias("text"))
+    fits = [F.when(files.is_candidate(F.col("path"), F.col("text"), x), F.lit(x)) for x in files.EXTENSIONS]
+    return df.select("doc_id", F.coalesce(*fits).alias("language"))
+
+
+_FILES = """SELECT concat(CAST(doc_id % 3 AS VARCHAR), '/', CAST(doc_id AS VARCHAR), '.txt') AS path, replace(text, 'e', 'E') AS text
+FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 < 2"""
+
+
+def _tree(spark, sf_dir) -> str:
+    """The documents as files: visible, hidden, in an ignored folder, of another extension; and bytes that are no text."""
+    n = F.col("doc_id")
+    name = F.concat(F.when(n % 4 == 1, F.lit(".")).otherwise(F.lit("")), n.cast("string"), F.when(n % 4 == 2, F.lit(".md")).otherwise(F.lit(".txt")))
+    path = F.concat((n % 3).cast("string"), F.lit("/"), F.when(n % 4 == 3, F.lit("skip/")).otherwise(F.lit("")), name)
+    root = f"{shared_folder(spark)}/loupe-files-{uuid.uuid4().hex}".removeprefix("file://")
+    files.write_changed(documents(spark, sf_dir).select(path.alias("path"), "text"), root)
+    for name, data in ((".ignore", b"skip/\n/2/\n"), ("binary.txt", b"\xff\xfe")):
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+    return root
+
+
+@query(_FILES)
+def files_rewrite(spark, sf_dir):
+    """Walk, filters, text check and rewriting in place of real files."""
+    root = _tree(spark, sf_dir)
+    changed = scoped(files.read_files(spark, root, glob="*.txt", strict=True)).scope(S.Literal("e")).upper().changed()
+    files.write_changed(changed, root)
+    return files.read_files(spark, root, glob="*.txt", sort=True)
+
+
+@query(_FILES)
+def command_line_rewrite(spark, sf_dir):
+    """The same by the command line."""
+    return _command_line(spark, sf_dir, "--glob", "*.txt", "--upper", "e")[0]
+
+
+@query("""SELECT concat(CAST(doc_id % 3 AS VARCHAR), '/', CAST(doc_id AS VARCHAR), '.txt') AS path FROM documents
+WHERE doc_id % 4 = 0 AND doc_id % 3 < 2 AND contains(text, 'e')""")
+def command_line_changed(spark, sf_dir):
+    """What the command line says it has changed."""
+    said = _command_line(spark, sf_dir, "--sorted", "--glob", "*.txt", "--upper", "e")[1]
+    return spark.createDataFrame([(x,) for x in said.splitlines()], "path string")
+
+
+@query(_LINES_SQL + """SELECT concat(CAST(doc_id % 3 AS VARCHAR), '/', CAST(doc_id AS VARCHAR), '.txt:', CAST(line_no AS VARCHAR)) AS hit
+FROM l WHERE doc_id % 4 = 0 AND doc_id % 3 < 2 AND contains(line, 'ment')""")
+def command_line_search(spark, sf_dir):
+    """Hits as the command line prints them, up to their columns."""
+    said = _command_line(spark, sf_dir, "--glob", "*.txt", "--only-matching", "--line-numbers", "-L", "ment")[1]
+    return spark.createDataFrame([(":".join(x.split(":", 2)[:2]),) for x in said.removesuffix("\n").split("\n")], "hit string")
+
+
+def _command_line(spark, sf_dir, *args) -> tuple[DataFrame, str]:
+    """The files after a run of the command line over them, and what it printed."""
+    from .__main__ import main
+
+    root, before, out = _tree(spark, sf_dir), os.getcwd(), io.StringIO()
+    os.chdir(root)
+    try:
+        with contextlib.redirect_stdout(out):
+            code = main(["--stdin-detection=force-unreadable", "--stdout-detection=force-pipe", *args])
+    finally:
+        os.chdir(before)
+    if code:
+        raise RuntimeError(f"exit code {code}")
+    return files.read_files(spark, root, glob="*.txt", sort=True), out.getvalue()
+
+
+@query("""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, 'Licensed'), lambda x: reverse(x)), 'Licensed') AS text FROM documents)
+SELECT doc_id, text FROM t""")
+def function_action(spark, sf_dir):
+    """A user's function over what a literal leaves out."""
+    return scoped(documents(spark, sf_dir)).scope(S.Literal("Licensed")).invert().act(lambda s: s[::-1]).to_text()
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10)), ' / ') AS text FROM documents")
+def unescape_literal(spark, sf_dir):
+    return Request(r"\n", literal=True, replacement=" / ").run(documents(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '([0-9]+)', chr(27) || '[1;31m' || '\1' || chr(27) || '[0m', 'g') AS text FROM documents")
+def style_digits(spark, sf_dir):
+    return scoped(documents(spark, sf_dir)).scope(S.Regex("[0-9]+")).act(A.RED_BOLD.act).to_text()
+
+
+@query(_INTERLEAVED.replace("false AS in_scope", "true AS in_scope").replace(" * 2 + 1, true FROM", " * 2 + 1, false FROM"))
+def invert_scope(spark, sf_dir):
+    view = scoped(documents(spark, sf_dir)).scope(S.Regex("[A-Z][a-z]+", captures=False)).invert()
+    return view.fragments("doc_id").drop("caps")
+
+
 @query("SELECT page_id, url FROM pages WHERE url LIKE 'https://%.org/en/%'")
 def glob_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").where(
@@ -343,6 +474,31 @@ def _register() -> None:
 _register()
 
 
+def _sample_sql(text: str) -> str:
+    return _sql(text).replace(samples.PLACE, "' || n_nationkey || '").replace("\t", "' || chr(9) || '")
+
+
+def _register_samples() -> None:
+    """Every prepared query over a richer source of its language, one for each nation, with the nation's key in names."""
+    for language, expected in samples.EXPECTED.items():
+        for item, found in expected.items():
+            name = f"lang_{language}_{item.partition('~')[0].replace('-', '_')}" + "_by_name" * ("~" in item)
+            if name in QUERIES:
+                name += "_sample"
+
+            def run(spark, sf_dir, language=language, item=item):
+                nation = table(spark, sf_dir, "nation")
+                source = F.replace(F.lit(samples.SAMPLES[language]), F.lit(samples.PLACE), F.col("n_nationkey").cast("string"))
+                view = scoped(nation.select("n_nationkey", source.alias("text"))).scope(S.Language(language, item))
+                return view.fragments("n_nationkey").where("in_scope").select("n_nationkey", "text")
+
+            run.__name__ = name
+            query(f"SELECT n_nationkey, unnest([{', '.join(map(_sample_sql, found))}]) AS text FROM nation")(run)
+
+
+_register_samples()
+
+
 @query("SELECT p_partkey, 'fn f' || p_partkey || '(a: u8) -> u8 { a }' AS text FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '%7'")
 def lang_rust_fn_named(spark, sf_dir):
     return _in_scope(spark, sf_dir, "rust", S.Language("rust", "fn~7$"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.escapes import UndefinedVariable, inject, parse_template, unescape
+from ..functions.german import WORDS
 from . import fragments as G
 
 
@@ -227,15 +228,8 @@ class CallColumn(Action):
         return self.function
 
 
-#: A small dictionary; German(words=...) takes a full one.
-GERMAN_WORDS = frozenset(
-    """Abenteuer Apfel Äpfel Ärger Bestandteil Brücke Bücher Dübel Fuß Füße Gebäude Gefühl Gemüse Gerät Geräte Geschäft Grün
-    Größe Häuser Hügel Kindergarten Koeffizient Käse König Körper Küche Kübel Küste Löffel Lösung Mauer Maß Messgerät Möglichkeit
-    Mädchen Männer Müll Mühle Öl Ölpreis Satz Schlüssel Schwimm Schwimmbad Bad Bäder Schwimmbäder Straße Straßen Süden Süß Süßwasser Spaß
-    Tür Türen Übung Überfall Vögel Wasser Wörter Zähne abenteuerlich aber dröge dürfen für fünf früh grün größer groß grüßen heiß
-    heißt hören kongruent können könnte lösen mögen möchte müssen natürlich nicht schließen schließt schließlich schön
-    schöner schöne spät süß süße täglich tschüß über üben übrig während wäre weiß weißt wählen wünschen zurück zwölf""".split()
-)
+#: German(words=...) takes another dictionary.
+GERMAN_WORDS = WORDS
 
 
 class German(Action):

@@ -281,3 +281,11 @@ def test_fragments_from_ranges():
     assert G.from_ranges("abcd", [(1, 2), (3, 4)]) == [("a", False, None), ("b", True, None), ("c", False, None), ("d", True, None)]
     with pytest.raises(IndexError):
         G.from_ranges("ab", [(1, 5)])
+
+
+def test_german_dictionary_is_inflected():
+    g = A.German()
+    assert g.act("Ueber die groesseren Strassen fuehlten sich zwoelf Maedchen schoener") == "Über die größeren Straßen fühlten sich zwölf Mädchen schöner"
+    same = "Die neue Steuer, dass man muss: Messer, Wasser, Klasse, Poesie, Israel, zuerst, Abenteuer, aktuell, Fluss"
+    assert g.act(same) == same
+    assert g.act("KAESE Tuerschloesser GROESSE") == "KÄSE Türschlösser GRÖẞE"

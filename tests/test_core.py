@@ -289,3 +289,45 @@ def test_german_dictionary_is_inflected():
     same = "Die neue Steuer, dass man muss: Messer, Wasser, Klasse, Poesie, Israel, zuerst, Abenteuer, aktuell, Fluss"
     assert g.act(same) == same
     assert g.act("KAESE Tuerschloesser GROESSE") == "KÄSE Türschlösser GRÖẞE"
+
+
+def executed(df):
+    """The physical plan, without adaptive steps."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_texts_are_parsed_once(spark):
+    from loupe import queries
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("lang_python_comments", "lang_rust_fn", "custom_query_names", "intersect_scopes"):
+        assert executed(queries.QUERIES[name](spark, folder)).count("ArrowEvalPython") == 1, name
+    plan = executed(queries.QUERIES["regex_segments"](spark, folder))
+    filters = [x for x in plan.splitlines() if "Filter " in x or "DataFilters" in x]
+    assert filters and not any("regexp_extract_all" in x or "split(" in x for x in filters)
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    from loupe.sources.tables import spread
+
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert sorted(r.id for r in spread(df.where("id > 5")).collect()) == list(range(6, 100))
+    for other in (df.orderBy("id"), spark.range(3), df.groupBy("id").count()):
+        assert spread(other) is other
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from loupe.sources.tables import shared_folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Session(**{"spark.master": "spark://host:7077"}))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Session(**{"spark.master": "local-cluster[3,2,1000]"}))
+    assert shared_folder(Session(**{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"

@@ -43,6 +43,29 @@ class Parser(Braces):
                 x.kind = "punct"
             yield x
 
+    def _format(self, a: int, b: int) -> int:
+        """Where the format of an interpolated value begins: a colon outside brackets, strings and conditions."""
+        depth = asked = 0
+        while a < b:
+            c = self.source[a]
+            if c == '"':
+                a = max(self.source.find('"', a + 1, b), a)
+            elif c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+            elif c == "?" and self.source[a + 1 : a + 2] not in ("?", ".", "["):
+                asked += not depth
+            elif c == ":" and not depth:
+                if self.source.startswith("::", a):
+                    a += 1
+                elif not asked:
+                    return a
+                else:
+                    asked -= 1
+            a += 1
+        return b
+
     def extend(self, kind, start, end):
         if kind != "interpolated":
             return end
@@ -69,7 +92,7 @@ class Parser(Braces):
                     depth += (self.source[b] == "{") - (self.source[b] == "}")
                     b += 1
                 self.inner.append(Node("interpolation", at, b))
-                for n in Parser(self.source[at + 1 : b - 1]).tree().walk():
+                for n in Parser(self.source[at + 1 : self._format(at + 1, b - 1)]).tree().walk():
                     if n.kind != self.ROOT:
                         self.inner.append(Node(n.kind, n.start + at + 1, n.end + at + 1, n.field))
                 at, code = b, True
@@ -80,7 +103,25 @@ class Parser(Braces):
 
     def leaf(self, x):
         kind = {"raw": "raw_string_literal", "verbatim": "verbatim_string_literal", "string": "string_literal"}.get(x.kind)
-        return Node(kind, x.start, x.end) if kind else super().leaf(x)
+        if kind:
+            return Node(kind, x.start, x.end)
+        return None if x.kind == "ident" and self._plain_word(x) else super().leaf(x)
+
+    def _plain_word(self, x) -> bool:
+        """Whether an identifier is a word of the language by where it is, a target or a lone parameter."""
+        if not hasattr(self, "_index"):
+            self._index = {id(y): i for i, y in enumerate(self.t)}
+        i = self._index.get(id(x))
+        if i is None:
+            return False
+        ahead = self.ident(i + 1) or i + 1 < self.size and self.t[i + 1].kind in ("string", "number", "interpolated", "verbatim", "raw")
+        if x.text in ("assembly", "module", "field", "event", "method", "param", "property", "return", "type", "typevar"):
+            return self.is_(i - 1, "[") and self.is_(i + 1, ":")
+        if x.text in ("where", "partial", "await", "from", "select", "orderby", "into", "join", "equals", "ascending", "descending"):
+            return ahead and not self.is_(i - 1, ".") and not self.is_(i + 1, "is", "as", "in")
+        if x.text == "async":
+            return ahead or self.is_(i + 1, "(") and not self.is_(i - 1, ".")
+        return self.is_(i + 1, "=>") and self.is_(i - 1, "(", ",", "=", "return", "=>", "async")
 
     def finish(self):
         self.nodes += self.inner

@@ -62,11 +62,20 @@ class Parser(Braces):
                         self.nodes.append(Node("string_content", a, m.start()))
                     a = m.end()
             return Node("string_content", a, b) if a < b else None
+        if x.kind == "lifetime":
+            return Node("identifier", x.start + 1, x.end)
+        if x.kind == "ident" and x.text == "Self":
+            i = self._at(x)
+            return Node("identifier" if self.is_(i + 1, "::") or self._in_tree(i) else "type_identifier", x.start, x.end)
         if x.kind != "ident" or x.text in self.KEYWORDS:
             return None
         i = self._at(x)
-        if self._in_tree(i):
+        if x.text == "union" and self.ident(i + 1):
+            return None
+        if self._in_tree(i) or self._imported(i):
             return Node("identifier", x.start, x.end)
+        if self.is_(i + 1, ":") and self.is_(self.around[i], "{") and self.is_(i - 1, "{", ",", "pub", ")", "]"):
+            return Node("field_identifier", x.start, x.end)
         if self.is_(i - 1, ".") and not self.is_(i + 1, "(") or self.is_(i - 1, "."):
             return Node("field_identifier", x.start, x.end)
         if self._type(i):
@@ -91,8 +100,32 @@ class Parser(Braces):
                     self._trees.update(range(a, b))
         return i in self._trees
 
+    def _imported(self, i):
+        """Whether the token is in a use declaration."""
+        if not hasattr(self, "_used"):
+            self._used = set()
+            for k in range(self.size):
+                if self.is_(k, "use"):
+                    self._used.update(range(k + 1, self.until(k, ";")))
+        return i in self._used
+
+    def _variant(self, i):
+        a = self.around[i]
+        if not self.is_(a, "{") or not self.is_(i - 1, "{", ",", "]"):
+            return False
+        k = a - 1
+        while k > 0 and not self.is_(k, "enum", ";", "}", "{"):
+            k -= 1
+        return self.is_(k, "enum")
+
     def _type(self, i):
         text = self.t[i].text
+        if self._variant(i):
+            return False
+        if text in ("Fn", "FnMut", "FnOnce"):
+            return True
+        if text[0].isupper() and text.isupper() and len(text) == 1 and not self.is_(i + 1, "(", "!", "::") and not self.is_(i - 1, "::", "const"):
+            return True
         return self.is_(i - 1, "struct", "enum", "trait", "impl", "union", "type") or text[0].isupper() and not text.isupper() and not self.is_(i + 1, "(", "!", "::") and not self.is_(i - 1, "::")
 
     def construct(self, i):

@@ -235,6 +235,7 @@ EXPECTED = {
         "comments": ['// note Q9Z'],
         "strings": ['"done"'],
         "imports": ['"fmt"'],
+        "expression": ['3', '4', '2 * a', 'a', 'close(c)', 'func() { c <- 1 }()', '<-c', 'size', '1', 'fmt.Println("done")'],
         "type-def": ['type Alias = int', 'type PointQ9Z struct {\n\tX int `json:"x"`\n}', 'type Shape interface{ Area() int }'],
         "type-alias": ['Alias = int'],
         "struct": ['type PointQ9Z struct {\n\tX int `json:"x"`\n}'],

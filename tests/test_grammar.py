@@ -267,3 +267,32 @@ def test_custom_query(query, want):
 def test_invalid_custom_query(query):
     with pytest.raises(InvalidQuery):
         compile_query("python", query)
+
+
+def test_go_expressions_are_outermost():
+    source = """package p
+var table = [2]map[string]int{{"a": 1}, nil}
+func f(n [3]int, g func(int) error) (err error) {
+	for i, v := range n[1:] { total += i * v }
+	if x, ok := m[k].(string); ok && !done { return fmt.Errorf("%v", x), nil }
+	switch y := z.(type) { case []byte: use(y) }
+	q := &T{A: 1}
+	go func() { inner(1) }()
+	ch <- a +
+		b
+loop:
+	break loop
+}
+"""
+    assert found("go", "expression", source) == [
+        '[2]map[string]int{{"a": 1}, nil}', "3", "i", "v", "n[1:]", "total", "i * v", "x", "ok", "m[k].(string)", "ok && !done",
+        'fmt.Errorf("%v", x)', "nil", "y", "z", "use(y)", "q", "&T{A: 1}", "func() { inner(1) }()", "ch", "a +\n\t\tb",
+    ]
+
+
+def test_identifiers_by_place():
+    rust = "use a::{B, c};\nstruct P<T> { x: T }\nenum E { V, W(u8) }\nfn f<F: Fn()>(g: &'static F) -> Self { P { x: 1 } }\nunion U { a: u8 }\n"
+    assert found("rust", "type-identifier", rust) == ["P", "T", "T", "E", "F", "Fn", "F", "Self", "P", "U"]
+    assert found("rust", "identifier", rust) == ["a", "B", "c", "V", "W", "f", "g", "static"]
+    sharp = '[assembly: A]\npartial class C { async Task M<T>() where T : D { var q = from x in y where x.ok select x; F(z => z + 1); var s = $"{v:F3}"; await G(); } }'
+    assert found("csharp", "identifier", sharp) == ["A", "C", "Task", "M", "T", "T", "D", "q", "x", "y", "x", "ok", "x", "F", "z", "s", "v", "G"]

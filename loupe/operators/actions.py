@@ -113,13 +113,16 @@ class Titlecase(Action):
         return part
 
 
+_MARKS = regex.compile(r"\p{M}+")
+
+
 class Normalization(Action):
     """Canonical decomposition without its marks."""
 
     def act(self, text: str) -> str:
         if text.isascii():
             return text
-        return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
+        return _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 class Replacement(Action):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,22 +97,30 @@ ARROW = pa.list_(
 
 
 def to_python(column: pa.Array) -> list[list[Fragment] | None]:
-    return [
-        None if row is None else [(f["text"], f["in_scope"], None if f["caps"] is None else dict(f["caps"])) for f in row]
-        for row in column.to_pylist()
-    ]
+    """Rows of fragments, field by field rather than one object for each fragment."""
+    flat = column.flatten()
+    texts, flags, caps = (flat.field(k) for k in range(3))
+    groups = [None] * len(flat) if caps.null_count == len(caps) else [None if c is None else dict(c) for c in caps.to_pylist()]
+    found = list(zip(texts.to_pylist(), flags.to_pylist(), groups))
+    out: list[list[Fragment] | None] = []
+    at = 0
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(None if n is None else found[at : at + n])
+        at += n or 0
+    return out
 
 
 def to_arrow(rows: list[list[Fragment] | None]) -> pa.Array:
-    return pa.array(
-        [
-            None
-            if row is None
-            else [{"text": t, "in_scope": s, "caps": None if c is None else list(c.items())} for t, s, c in row]
-            for row in rows
-        ],
-        type=ARROW,
-    )
+    offsets, at = [0], 0
+    for row in rows:
+        at += len(row or ())
+        offsets.append(at)
+    texts, flags, caps = zip(*(f for row in rows for f in row or ())) if at else ((), (), ())
+    kind = ARROW.value_type
+    groups = pa.nulls(at, kind[2].type) if not any(caps) else pa.array([None if c is None else list(c.items()) for c in caps], kind[2].type)
+    flat = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(flags, pa.bool_()), groups], fields=list(kind))
+    ends = pa.array([None if row is None else o for row, o in zip(rows, offsets)] + [at], pa.int32())
+    return pa.ListArray.from_arrays(ends, flat)
 
 
 def python_explode(frags: Column, scope: Callable[[str], list[Fragment]]) -> Column:

@@ -36,16 +36,6 @@ log = logging.getLogger(__name__)
 COLUMNS = "array<struct<start: int, end: int>>"
 LINE = f"struct<line_no: int, line: string, cols: {COLUMNS}>"
 LINES = f"array<{LINE}>"
-_LINES = pa.list_(
-    pa.struct(
-        [
-            ("line_no", pa.int32()),
-            ("line", pa.string()),
-            ("cols", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-        ]
-    )
-)
-
 #: A line in Python: its fragments.
 Line = list[G.Fragment]
 
@@ -66,18 +56,6 @@ def split_lines(frags: list[G.Fragment]) -> list[Line]:
     return lines
 
 
-def line_row(number: int, line: Line) -> dict:
-    """Line number from 1, the line without its end, and byte ranges of what is in scope."""
-    cols, at = [], 0
-    for text, in_scope, _ in line:
-        size = len(text.encode())
-        if in_scope:
-            cols.append({"start": at, "end": at + size})
-        at += size
-    text = "".join(f[0] for f in line)
-    return {"line_no": number, "line": text.removesuffix("\n"), "cols": cols}
-
-
 def zip_shortest(*lists: list) -> list[tuple]:
     """The nth items of all lists, until the shortest ends."""
     return list(zip(*lists)) if lists else []
@@ -245,12 +223,29 @@ class Scoped:
 
 
 def _lines_of(only_matching: bool) -> Callable[[pa.Array], pa.Array]:
+    """Lines of a batch of fragments, built field by field."""
+
     def column(batch: pa.Array) -> pa.Array:
-        out = []
+        rows, numbers, texts = [0], [], []
+        cols, starts, ends = [0], [], []
         for row in G.to_python(batch):
-            lines = enumerate(split_lines(row or []), 1)
-            out.append([line_row(i, x) for i, x in lines if not only_matching or any(f[1] for f in x)])
-        return pa.array(out, type=_LINES)
+            for number, line in enumerate(split_lines(row or []), 1):
+                if only_matching and not any(f[1] for f in line):
+                    continue
+                at = 0
+                for text, in_scope, _ in line:
+                    size = len(text) if text.isascii() else len(text.encode())
+                    if in_scope:
+                        starts.append(at)
+                        ends.append(at + size)
+                    at += size
+                numbers.append(number)
+                texts.append("".join(f[0] for f in line).removesuffix("\n"))
+                cols.append(len(starts))
+            rows.append(len(numbers))
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+        lines = [pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(cols, pa.int32()), spans)]
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(lines, ["line_no", "line", "cols"]))
 
     return column
 

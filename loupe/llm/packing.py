@@ -1,15 +1,19 @@
 """Best-fit packing planned on the histogram of lengths.
 
-Lengths are whitespace-delimited words plus one end mark.  A text longer than `capacity`
+Lengths are token ids under a public vocabulary plus the end token.  A text longer than `capacity`
 gives full pieces and a rest.  Only the counts by length reach the driver: at most
 `capacity` rows, whatever the corpus.  Best fit runs over them, longest first, placing
 all pieces of one length at a time, and gives runs of slots; a piece finds its slot by
-joining its length and its rank within the length to those runs.
+joining its length and its rank within the length to those runs.  Ranks are counted within
+buckets of at most about RANK_ROWS pieces; the slots then join the texts' ids once.
 
-Defined results: a null text counts as empty (one end mark, length 1); repeated rows are
-separate pieces; ties of rank are broken by doc_id (nulls first), then by a hash of the
-text, and rows equal in both take their slots in either order; an empty table gives no
-rows; further columns aren't read.
+The ids of a bin's pieces, each at its `start`, are the bin's content; a document's pieces in order are
+its ids, from which the vocabulary gives back the text byte by byte.
+
+Defined results: a null text counts as empty (the end token, length 1); repeated rows are
+separate pieces; ties of rank are broken by doc_id (nulls first), then by hashes of the
+text, and rows equal in all take their slots in either order; very long texts are encoded whole; null
+doc_ids are carried; an empty table gives no rows; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,9 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import written
+from .token_shards import VOCABULARY, encoded, id_width
 
 CAPACITY = 2048
-RANK_BUCKETS = 64
+RANK_BUCKETS, RANK_ROWS = 64, 1 << 18
+#: Runs are broadcast up to this many, and joined by an exchange beyond.
+RUNS_MOST = 1 << 20
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -75,52 +82,46 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, words + 1, hash of the text)."""
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0)) + 1).cast("long").alias("n"),
-        F.xxhash64("text").alias("h"),
-    )
-
-
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, length, bin, start): every piece's bin and its place within."""
-    spark = docs.sparkSession
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, piece, length, bin, start, ids): every piece's bin, its place within, and its ids, little-endian."""
+    spark, width = docs.sparkSession, id_width(vocabulary)
+    table = written(encoded(docs, capacity, vocabulary), "tokens")
+    count = F.ceil(F.col("n") / capacity)
+    rows = table.agg(F.sum(count)).first()[0] or 0
+    buckets = max(RANK_BUCKETS, int(rows) // RANK_ROWS)
     pieces = (
-        lengths(docs)
-        .select("doc_id", "h", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity}L)")).alias("piece"))
-        .select("doc_id", "h", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length"))
-        .withColumn("b", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(RANK_BUCKETS)))
+        table.select("task", "first", "doc_id", "h", "h2", "n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
+        .withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long"))
+        .withColumn("b", F.pmod(F.xxhash64("task", "first", "piece"), F.lit(buckets)))
     )
-    pieces = written(pieces, "pieces")
-    # capacity x RANK_BUCKETS counts at most
-    cells = pieces.groupBy("length", "b").agg(F.count("*").alias("c")).orderBy("length", "b").collect()
-    counts: dict[int, int] = {}
-    base = []
-    for length, b, c in cells:
-        base.append((length, b, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + c
-    if not cells:
-        return pieces.select("doc_id", "piece", "length", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("start"))
-    runs = spark.createDataFrame(
-        plan(counts, capacity), "length long, lo long, hi long, first long, each long, offset long"
-    )
-    offsets = spark.createDataFrame(base, "length long, b long, base long")
-    order = Window.partitionBy("length", "b").orderBy("doc_id", "h", "piece")
+    cells = written(pieces.groupBy("length", "b").agg(F.count("*").alias("c")), "cells")
+    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("c")).collect()}  # capacity rows at most
+    runs = plan(counts, capacity)
+    runs_table = spark.createDataFrame(runs, "l long, lo long, hi long, first_bin long, each long, offset long")
+    base = F.sum("c").over(Window.partitionBy("length").orderBy("b")) - F.col("c")
+    order = Window.partitionBy("length", "b").orderBy("doc_id", "h", "h2", "piece")
     ranked = (
         pieces.withColumn("r", F.row_number().over(order) - 1)
-        .join(F.broadcast(offsets), ["length", "b"])
+        .join(cells.select("length", "b", base.alias("base")), ["length", "b"])
         .withColumn("r", F.col("r") + F.col("base"))
     )
     within = F.col("r") - F.col("lo")
-    return (
-        ranked.join(F.broadcast(runs.withColumnRenamed("length", "l")), F.expr("length = l and r >= lo and r < hi"))
+    few = F.broadcast(runs_table) if len(runs) <= RUNS_MOST else runs_table
+    slots = (
+        ranked.join(few, F.expr("length = l and r >= lo and r < hi"))
         .select(
-            "doc_id",
-            "piece",
-            "length",
-            (F.col("first") + F.floor(within / F.col("each"))).alias("bin"),
-            (F.col("offset") + within % F.col("each") * F.col("length")).alias("start"),
+            "task", "first",
+            F.struct(
+                "piece", "length",
+                (F.col("first_bin") + F.floor(within / F.col("each"))).alias("bin"),
+                (F.col("offset") + within % F.col("each") * F.col("length")).alias("start"),
+            ).alias("slot"),
         )
+        .groupBy("task", "first").agg(F.collect_list("slot").alias("slots"))
+    )
+    ids = F.substring("tokens", (F.col("s.piece") * (capacity * width) + 1).cast("int"), (F.col("s.length") * width).cast("int"))
+    return (
+        table.select("task", "first", "doc_id", "tokens").join(slots, ["task", "first"])
+        .select("doc_id", "tokens", F.explode("slots").alias("s"))
+        .select("doc_id", "s.piece", "s.length", "s.bin", "s.start", ids.alias("ids"))
     )

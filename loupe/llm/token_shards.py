@@ -3,7 +3,9 @@
 Every document is encoded with a public byte-level BPE vocabulary, closed with the end
 token and cut into sequences of `seq_len` ids; the last one is padded with the end token.
 A keyed Feistel network with cycle-walking permutes the sequence numbers 0..N-1, and the
-permuted number is the sequence's global slot.  Rows move once, to the range of slots of
+permuted number is the sequence's global slot.  Sequences are numbered in the order in which the
+encoding tasks wrote them: the order of one materialisation is fixed by its files, while another one
+under another split of the input is another order.  Rows move once, to the range of slots of
 their shard, where records of equal size follow one another, so slot s is found at byte
 (s mod sequences) * stride of file s div sequences, and reading resumes at any slot.
 
@@ -13,13 +15,13 @@ batch with numpy, by the classes of the vocabulary's own pattern.  Texts with ap
 
 Defined results: null and empty texts give one sequence that holds the end token;
 repeated rows are sequences of their own; null doc_ids are carried; an empty table gives
-no rows and no files; further columns aren't read.
+no rows and no files; very long texts are encoded whole; ties can't occur, as slots are distinct; further
+columns aren't read.  The vocabulary must lie at the same path on every executor.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +36,6 @@ from . import textnp as X
 from .exchange import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-END = 50_256
 SEQ_LEN = 1024
 SHARD_SEQUENCES = 4096
 KEY = 0x5EED
@@ -99,13 +100,16 @@ class Encoder:
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[int, list[int]] = {}
         self.ranks = ranks
+        #: The first free id ends each text; ids take two bytes where all of them fit.
+        self.end = max(ranks.values()) + 1
+        self.type = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
 
     def _piece(self, raw: bytes) -> list[int]:
         one = self.ranks.get(raw)
         return [one] if one is not None else self.own._encode_single_piece(raw)
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray] | tuple[np.ndarray, np.ndarray]:
-        """(ids as uint16, offsets by row) with the end token after each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by row) with the end token after each text."""
         data, off = X.buffers(texts)
         n = len(off) - 1
         sums = np.concatenate([[0], np.cumsum((data == 39) | (data >= 0xF0))])
@@ -125,16 +129,16 @@ class Encoder:
                 x = known[h] = self._piece(data[starts[i] : ends[i]].tobytes())
             ids.append(x)
         each = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((t for x in ids for t in x), dtype=np.uint16, count=int(each.sum()))
+        flat = np.fromiter((t for x in ids for t in x), dtype=self.type, count=int(each.sum()))
         begin = np.cumsum(each) - each
         tokens = flat[X.ranges(begin[inverse], each[inverse])]
         count = np.bincount(row, weights=each[inverse], minlength=n).astype(np.int64)
         odd = {}
         for r in np.flatnonzero(slow).tolist():
-            odd[r] = np.array(self.own.encode_ordinary(texts[r].as_py()), dtype=np.uint16)
+            odd[r] = np.array(self.own.encode_ordinary(texts[r].as_py()), dtype=self.type)
             count[r] = len(odd[r])
         out_off = np.concatenate([[0], np.cumsum(count + 1)])
-        out = np.full(out_off[-1], END, dtype=np.uint16)
+        out = np.full(out_off[-1], self.end, dtype=self.type)
         here = count.copy()
         here[list(odd)] = 0
         out[X.ranges(out_off[:-1], here)] = tokens
@@ -143,6 +147,11 @@ class Encoder:
         return out, out_off
 
 
+def id_width(vocabulary: str = VOCABULARY) -> int:
+    """Bytes of an id."""
+    return _encoder(vocabulary).type.itemsize
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -170,12 +179,18 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS)
 
 
 _ENCODED = pa.schema(
-    [("task", pa.int32()), ("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]
+    [
+        ("task", pa.int32()), ("first", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()),
+        ("n", pa.int32()), ("tokens", pa.binary()),
+    ]
 )
 
 
 def encoded(docs: DataFrame, seq_len: int = SEQ_LEN, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(task, first, doc_id, n, tokens): little-endian uint16 ids; `first` counts the task's sequences so far."""
+    """(task, first, doc_id, h, h2, n, tokens): hashes of the text and little-endian ids; `first` counts the task's sequences so far.
+
+    Once it is written, (task, first) names a row, also among identical ones.
+    """
 
     def encode(batches):
         from pyspark import TaskContext
@@ -183,7 +198,7 @@ def encoded(docs: DataFrame, seq_len: int = SEQ_LEN, vocabulary: str = VOCABULAR
         task, first = TaskContext.get().partitionId(), 0
         coder = _encoder(vocabulary)
         for b in batches:
-            texts, ids = X.as_array(b.column(1)), b.column(0)
+            texts = X.as_array(b.column(1))
             for i, j in X.slices(texts, SLICE_BYTES):
                 tokens, off = coder.encode(texts.slice(i, j - i))
                 n = np.diff(off)
@@ -191,15 +206,18 @@ def encoded(docs: DataFrame, seq_len: int = SEQ_LEN, vocabulary: str = VOCABULAR
                 begin = first + np.cumsum(sequences) - sequences
                 first += int(sequences.sum())
                 raw = pa.Array.from_buffers(
-                    pa.binary(), j - i, [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(tokens)]
+                    pa.binary(), j - i, [None, pa.py_buffer((off * coder.type.itemsize).astype(np.int32)), pa.py_buffer(tokens)]
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(j - i, task, np.int32)), pa.array(begin), ids.slice(i, j - i), pa.array(n, pa.int32()), raw],
+                    [
+                        pa.array(np.full(j - i, task, np.int32)), pa.array(begin), *(b.column(k).slice(i, j - i) for k in (0, 2, 3)),
+                        pa.array(n, pa.int32()), raw,
+                    ],
                     schema=_ENCODED,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        encode, "task int, first bigint, doc_id bigint, n int, tokens binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).mapInArrow(
+        encode, "task int, first bigint, doc_id bigint, h bigint, h2 bigint, n int, tokens binary"
     )
 
 
@@ -208,7 +226,8 @@ def materialise(
     vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """(slot, shard, doc_id, part, n_tokens, record): one row a sequence, one partition a shard, in slot order."""
-    spark = docs.sparkSession
+    spark, coder = docs.sparkSession, _encoder(vocabulary)
+    width = coder.type.itemsize
     # Written, so that a task's sequence numbers can't change if it has to run again.
     table = written(encoded(docs, seq_len, vocabulary), "tokens")
     count = F.ceil(F.col("n") / seq_len)
@@ -234,25 +253,27 @@ def materialise(
             "doc_id",
             "part",
             F.least(F.lit(seq_len), F.col("n") - part * seq_len).alias("n_tokens"),
-            F.substring("tokens", part * (2 * seq_len) + 1, F.lit(2 * seq_len)).alias("ids"),
+            F.substring("tokens", part * (width * seq_len) + 1, F.lit(width * seq_len)).alias("ids"),
         )
     )
-    stride = 2 * seq_len
+    stride = width * seq_len
     return (
         rows.repartitionById(max(1, -(-size // shard_sequences)), F.col("shard"))
         .sortWithinPartitions("slot")
-        .withColumn("record", F.rpad("ids", F.lit(stride), F.lit(END.to_bytes(2, "little"))))
+        .withColumn("record", F.rpad("ids", F.lit(stride), F.lit(coder.end.to_bytes(width, "little"))))
         .drop("ids")
     )
 
 
-def write_shards(rows: DataFrame, folder: str, seq_len: int = SEQ_LEN, shard_sequences: int = SHARD_SEQUENCES) -> None:
+def write_shards(
+    rows: DataFrame, folder: str, seq_len: int = SEQ_LEN, shard_sequences: int = SHARD_SEQUENCES, vocabulary: str = VOCABULARY
+) -> None:
     """Files shard-NNNNNNNN.bin; each is written beside its place and then renamed, so a retried task leaves no part."""
     from pyarrow import fs
 
     target, path = fs.FileSystem.from_uri(folder)
     target.create_dir(path)
-    stride = 2 * seq_len
+    stride = _encoder(vocabulary).type.itemsize * seq_len
 
     def write(batches):
         from pyspark import TaskContext
@@ -276,13 +297,19 @@ def write_shards(rows: DataFrame, folder: str, seq_len: int = SEQ_LEN, shard_seq
     rows.select("slot", "shard", "record").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
-def read_from(folder: str, slot: int, seq_len: int = SEQ_LEN, shard_sequences: int = SHARD_SEQUENCES) -> Iterator[np.ndarray]:
-    """Sequences from `slot` on, in training order."""
-    stride = 2 * seq_len
+def read_from(
+    folder: str, slot: int, seq_len: int = SEQ_LEN, shard_sequences: int = SHARD_SEQUENCES, vocabulary: str = VOCABULARY
+) -> Iterator[np.ndarray]:
+    """Sequences from `slot` on, in training order, from any file system that pyarrow knows."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    kind = _encoder(vocabulary).type
+    stride = kind.itemsize * seq_len
     shard, at = divmod(slot, shard_sequences)
-    while os.path.exists(name := f"{folder}/shard-{shard:08d}.bin"):
-        with open(name, "rb") as f:
+    while store.get_file_info(name := f"{root}/shard-{shard:08d}.bin").type == fs.FileType.File:
+        with store.open_input_file(name) as f:
             f.seek(at * stride)
             while record := f.read(stride):
-                yield np.frombuffer(record, dtype="<u2")
+                yield np.frombuffer(record, dtype=kind)
         shard, at = shard + 1, 0

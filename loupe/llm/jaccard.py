@@ -457,7 +457,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, t: floa
         .groupBy("set").agg(F.collect_set("tile").alias("tiles"))
         .join(sets, "set")
     )
-    texts = _keyed(docs).select("rk", "rk2", "text").join(chosen, ["rk", "rk2"])
+    # one plan at every size: what decides whether to broadcast is known only after a shuffle
+    texts = _keyed(docs).select("rk", "rk2", "text").join(chosen.hint("merge"), ["rk", "rk2"])
     none = F.lit(None).cast("long")
     texts = texts.select(F.explode("tiles").alias("tile"), F.col("set").alias("a"), none.alias("b"), "text", "copies")
     rows = texts.unionByName(keyed.select("tile", "a", "b", F.lit(None).cast("string").alias("text"), none.alias("copies")))
@@ -640,7 +641,7 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, most: int = MAX_
     rows = rows.where("rk is not null").withColumn("__lp_best", F.expr("rk = __lp_rk and rk2 = __lp_rk2"))
     marks = written(rows.groupBy("__lp_rk", "__lp_rk2").agg(F.max("__lp_best").alias("__lp_best"), F.count("*").alias("__lp_n")), "marks")
     keys = ["__lp_rk", "__lp_rk2"]
-    marked = docs.withColumns({k: f(F.col("doc_id").cast("long"), F.col("text")) for k, f in zip(keys, _RK)}).join(marks, keys, "left")
+    marked = docs.withColumns({k: f(F.col("doc_id").cast("long"), F.col("text")) for k, f in zip(keys, _RK)}).join(marks.hint("merge"), keys, "left")
     kept = marked.where("__lp_best is null or (__lp_best and __lp_n = 1)")
     if not marks.where("__lp_best and __lp_n > 1").isEmpty():
         # a partial aggregation, so that no task gets all of many identical rows

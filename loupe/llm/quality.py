@@ -9,7 +9,9 @@ The model is fitted on at most `fit_rows` labelled documents (a hash sample of t
 labels); scoring covers every document and shuffles nothing.
 
 Defined results: a null text counts as the empty text; null labels are left out; of
-several labels of one document the lowest counts; repeated rows are scored alike;
+several labels of one document the lowest counts; repeated rows are scored alike, and those labelled
+count in the fit as often as they occur; null doc_ids are scored; very long texts are read whole; equal scores
+are one point of the calibration, and a score at the threshold stays;
 with no labels, or labels of one class only, every document has score 1.0 and stays; an
 empty table gives an empty result; only doc_id and text are read, so further columns are
 of no concern, whatever their names.

@@ -3,8 +3,8 @@
 import random
 
 import corpus_pipeline
-from loupe.llm import decontam, pii, quality
-from test_operators import DOCS, brute_pairs, words
+from loupe.llm import decontam, pii, quality, token_shards
+from test_operators import DOCS, brute_pairs, packed_texts, words
 
 
 def world(spark, folder):
@@ -65,10 +65,27 @@ def test_stages_take_effect(spark, tmp_path):
     packed = docs.collect()
     left = {r.doc_id for r in packed}
     assert left == {i for i, _ in before} and all(r.start + r.length <= 2048 for r in packed)
+    # the bins give back every text that the stages kept, as they left it
+    assert sorted(packed_texts(packed, token_shards.Encoder()), key=str) == sorted(((i, t or "") for i, t in before), key=str)
 
 
 def test_run_is_the_stages_in_order(spark, tmp_path):
     world(spark, str(tmp_path))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near duplicates", "decontaminate", "pii", "packing"]
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "piece", "length", "bin", "start"] and got.count() > 50
+    assert got.columns == ["doc_id", "piece", "length", "bin", "start", "ids"] and got.count() > 50
+    # the same as the stages one by one
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/one{k}")
+        docs = spark.read.parquet(f"{tmp_path}/one{k}")
+    assert sorted(map(str, got.select("doc_id", "piece", "length", "ids").collect())) == sorted(
+        map(str, docs.select("doc_id", "piece", "length", "ids").collect())
+    )
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", DOCS), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.collect() == [] and "ids" in got.columns

@@ -1,13 +1,18 @@
-"""A corpus from raw documents to packed training pieces, in stages that are written and reread."""
+"""A corpus from raw documents to packed training pieces, in stages that are written and reread.
 
-from __future__ import annotations
+Defined results: null doc_ids, null and empty texts and repeated rows pass through the stages as these define;
+the stages but the last return the columns of documents, whatever else these are called; rows whose texts are
+copies or near copies of another's go, but for one; texts of any length are read whole; empty documents give no
+pieces, no labels keep every document, an empty benchmark keeps every document.  The last stage gives the
+ids of every piece with its bin, from which the texts that the stages kept can be put together byte by byte.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loupe.llm import decontam, jaccard, packing, pii, quality
-from loupe.llm.exchange import shared_folder
+from loupe.llm.exchange import discard, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/loupe-pipeline-{name.replace(" ", "-")}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

@@ -48,7 +48,7 @@ def parts(df: DataFrame) -> int:
 class Packed:
     """Records with a uint64 `key`, cut by bucket into blobs of another dtype: rows (bucket int, blob binary)."""
 
-    def __init__(self, buckets: int, wire: Callable[[np.ndarray], np.ndarray] = lambda r: r, flush: int = 1 << 21):
+    def __init__(self, buckets: int, wire: Callable[[np.ndarray], np.ndarray] = lambda r: r, flush: int = 1 << 20):
         self.wire, self.buckets, self.flush = wire, buckets, flush
         self.held: list[np.ndarray] = []
         self.size = 0

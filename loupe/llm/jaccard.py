@@ -138,7 +138,7 @@ def census(docs: DataFrame, n: int = N) -> DataFrame:
                     ],
                     names=names,
                 )
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 21:
                 keys, counts = merge()
                 held = []
         if held or len(keys):
@@ -363,13 +363,13 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Co
         r, begin, later = partners(r[np.repeat(many > 1, many)])
         s, l, step = r["set"].copy().view(np.int64), (r["l"] & 15).astype(np.int64), r["size"].astype(np.int64)
         apart = int(np.log(1 / t) / np.log(SIZE_STEP)) + 2  # sizes of similar sets differ by fewer steps
-        # rows are cut where about 2^20 pairs are full, so long lists don't need more memory than short ones
+        # rows are cut where about 2^19 pairs are full, so long lists don't need more memory than short ones
         total = np.cumsum(later)
         held: list[np.ndarray] = []
         done = np.zeros(0, _MATCH)
         a = 0
         while a < len(r):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 19), "right")))
             left = np.repeat(np.arange(a, b), later[a:b])
             right = X.ranges(begin[a:b], later[a:b])
             fits = (np.abs(step[left] - step[right]) < apart) | (step[left] == 255) | (step[right] == 255)
@@ -378,9 +378,9 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Co
             x["a"], x["b"] = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
             x["need"], x["c"] = np.minimum(l[left], l[right]), 1
             held.append(x)
-            if sum(map(len, held)) > 1 << 20 or b == len(r):
+            if sum(map(len, held)) > 1 << 19 or b == len(r):
                 done, held = _merged([done, *held]), []
-            if len(done) > 1 << 21 or b == len(r):
+            if len(done) > 1 << 20 or b == len(r):
                 yield from _match_batches(done)
                 done = np.zeros(0, _MATCH)
             a = b

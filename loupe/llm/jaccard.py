@@ -7,9 +7,12 @@ chooses its l by estimated cost: a longer prefix is read more, but demands more
 grams before a pair is verified.  A pair is a candidate if the grams that both emitted
 number at least the smaller of their two l, so nothing is lost by choosing separately.
 
-1. One pass counts the frequent grams (the order's tail and the cost estimate) and hashes
-   each document's whole set; documents with equal sets are one from here on.  Of a set that
-   many documents have, only the first emits a prefix.
+1. One pass counts all grams (the order and the cost estimate) and hashes each document's whole
+   set; documents with equal sets are one from here on.  Of a set that many documents have, only
+   the first emits a prefix.  The most frequent grams are known by name, all others by the count of a
+   cell of a table of at most LEVEL_CELLS bytes, in which grams of a few documents are left out.  A gram that
+   is told from rare ones by its share of the documents alone has a list that grows with them, and pairs
+   that grow with their square.
 2. Prefixes are exchanged once by gram; lists of one set end there, the others give pairs.
    Lists of grams that keep company and promise more than TILE_PAIRS pairs are cut into blocks of
    sets, and each pair of blocks is a task's work of its own.
@@ -59,6 +62,8 @@ HEAVY_MOST = 1 << 20
 #: A set that at least this share of documents, and this many, have; there are at most 1 / share of them.
 COPIES_SHARE, COPIES_LEAST = 0.00001, 64
 TILE_PAIRS = 1 << 24
+#: Grams are counted in so many cells for each bucket, in all; cells that are seldom hit are dropped, the others have places in so many bytes.
+BUCKET_CELLS, LEVEL_CELLS = 1 << 22, 1 << 25
 
 _POSTING = np.dtype([("key", "u8"), ("list", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 #: `l` holds the side of a tile in its upper half.
@@ -66,6 +71,59 @@ _SENT = np.dtype([("list", "u8"), ("set", "u8"), ("l", "u1"), ("size", "u1")])
 _GRAM_BITS = np.uint64(52)
 
 
+class Levels:
+    """How often grams occur, from 0 for the rarest to 255, by the first bits of a gram; shared cells make a gram seem more frequent, never less.
+
+    A gram's level is the same wherever it is looked up, which is all that the order of grams needs.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.bits = (buckets * BUCKET_CELLS - 1).bit_length()
+        self.place_bits = min(self.bits, LEVEL_CELLS.bit_length() - 1)
+        self.places = -(-(1 << self.place_bits) // buckets)  # of a bucket
+        self.cells = self.places << (self.bits - self.place_bits)
+        self.table = np.zeros(0, np.uint8)
+
+    def blobs(self, grams: np.ndarray, counts: np.ndarray) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+        """(buckets, cells packed, how many) of sorted grams: gaps by planes of bytes, about a byte a gram."""
+        cell = np.repeat((grams >> (_GRAM_BITS - np.uint64(self.bits))).astype(np.int64), np.minimum(counts, 255))
+        cuts = np.searchsorted(cell, np.arange(self.buckets + 1) * self.cells)
+        full = np.flatnonzero(np.diff(cuts))
+        for s in range(0, len(full), 64):
+            some = full[s : s + 64].tolist()
+            gaps = [np.diff(cell[cuts[i] : cuts[i + 1]], prepend=i * self.cells).astype("<u4") for i in some]
+            yield some, [pa.compress(g.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) for g in gaps], list(map(len, gaps))
+
+    def fill(self, table: DataFrame) -> None:
+        """From the rows (bucket, blob, many) of all tasks; what the driver gets is LEVEL_CELLS bytes at most."""
+        cells, places, shift = self.cells, self.places, self.bits - self.place_bits
+
+        def count(batches):
+            bucket, held = None, [np.zeros(0, np.int64)]
+            for b in batches:
+                for bucket, blob, many in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    raw = np.frombuffer(pa.decompress(blob, 4 * many, codec="zstd", asbytes=True), np.uint8)
+                    held.append(np.cumsum(np.ascontiguousarray(raw.reshape(4, many).T).view("<u4").ravel().astype(np.int64)))
+            if bucket is None:
+                return
+            n = np.minimum(np.bincount(np.concatenate(held), minlength=cells), 255).astype(np.uint8)
+            # the least count that leaves two places of three empty
+            reached = np.append(np.bincount(n, minlength=256)[::-1].cumsum()[::-1], 0)
+            n[n < max(2, int(np.argmax(reached <= places // 3)))] = 0
+            level = n.reshape(places, 1 << shift).max(1)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([pa.compress(level.tobytes(), codec="zstd", asbytes=True)])], ["bucket", "blob"])
+
+        rows = by_bucket(table, self.buckets).mapInArrow(count, "bucket bigint, blob binary").collect()
+        self.table = np.zeros(self.places * self.buckets, np.uint8)
+        for bucket, blob in rows:
+            at = bucket * places
+            self.table[at : at + places] = np.frombuffer(pa.decompress(bytes(blob), places, codec="zstd", asbytes=True), np.uint8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.table[(grams >> (_GRAM_BITS - np.uint64(self.place_bits))).astype(np.int64)].astype(np.int64)
+
+
 def _sent(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), _SENT)
     for c in _SENT.names:
@@ -104,9 +162,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", *[f("doc_id", "text").alias(c) for c, f in zip(("rk", "rk2"), _RK)])
 
 
-def census(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows of two kinds: (gram, count in a task) of locally repeated grams; (set, set2, size, doc_id, rk, rk2) of documents."""
-    names = ["set", "set2", "size", "doc_id", "rk", "rk2", "gram", "c"]
+def census(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
+    """Rows of three kinds: (gram, count in a task) of locally repeated grams; (set, set2, size, doc_id, rk, rk2) of documents; (bucket, blob, many) of all grams."""
+    schema = "set bigint, set2 bigint, size int, doc_id bigint, rk bigint, rk2 bigint, gram bigint, c bigint, bucket int, blob binary, many int"
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {c: kinds[kind] for c, kind in map(str.split, schema.split(", "))}
+
+    def batch(rows: int, **columns):
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, k) for c, k in kinds.items()], names=list(kinds))
 
     def scan(batches):
         held: list[np.ndarray] = []
@@ -126,33 +189,23 @@ def census(docs: DataFrame, n: int = N) -> DataFrame:
                 held.append(grams)
                 size = np.diff(off)
                 some = size > 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(np.where(some, set_hash(grams, off, k).view(np.int64), 0), mask=~some) for k in (0, 1)),
-                        pa.array(size, pa.int32()),
-                        ids.slice(i, j - i),
-                        rk.slice(i, j - i),
-                        rk2.slice(i, j - i),
-                        pa.nulls(j - i, pa.int64()),
-                        pa.nulls(j - i, pa.int64()),
-                    ],
-                    names=names,
-                )
+                both = (pa.array(np.where(some, set_hash(grams, off, k).view(np.int64), 0), mask=~some) for k in (0, 1))
+                own = {c: x.slice(i, j - i) for c, x in (("doc_id", ids), ("rk", rk), ("rk2", rk2))}
+                yield batch(j - i, set=next(both), set2=next(both), size=pa.array(size, pa.int32()), **own)
             if sum(map(len, held)) > 1 << 21:
                 keys, counts = merge()
                 held = []
         if held or len(keys):
             keys, counts = merge()
+            for some, blobs, many in levels.blobs(keys, counts):
+                yield batch(len(some), bucket=pa.array(some, pa.int32()), blob=pa.array(blobs, pa.binary()), many=pa.array(many, pa.int32()))
             often = counts >= LOCAL_LEAST
             g, c = keys[often].astype(np.int64), counts[often]
             for s in range(0, len(g), 1 << 15):
                 m = len(g[s : s + (1 << 15)])
-                none = [pa.nulls(m, pa.int32() if c == "size" else pa.int64()) for c in names[:6]]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(g[s : s + m]), pa.array(c[s : s + m])], names=names)
+                yield batch(m, gram=pa.array(g[s : s + m]), c=pa.array(c[s : s + m]))
 
-    return _keyed(docs).mapInArrow(
-        scan, "set bigint, set2 bigint, size int, doc_id bigint, rk bigint, rk2 bigint, gram bigint, c bigint"
-    )
+    return _keyed(docs).mapInArrow(scan, schema)
 
 
 def heavy_grams(table: DataFrame, docs: int, share: float = HEAVY_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -265,24 +318,22 @@ def choose(cost: np.ndarray) -> np.ndarray:
     return np.argmin(cost + VERIFY_COST * np.maximum(cost - l, 0) / l, axis=1) + 1
 
 
-def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: np.ndarray, t: float, most: int):
+def prefixes(grams: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, often: np.ndarray, levels: Levels, t: float, most: int):
     """(gram, row, l of each row, index of the gram if it is frequent or -1) of every posting that the rows emit."""
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)
-    estimate = np.ones(len(grams))
-    rank = np.zeros(len(grams), np.int64)
+    rank = levels.of(grams)
     index = np.full(len(grams), -1, np.int64)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
         hit = heavy[at] == grams
-        estimate[hit] = often[at[hit]]
         rank[hit] = often[at[hit]]
         index[hit] = at[hit]
-        order = np.lexsort((grams, rank, row))
-        grams, estimate, index = grams[order], estimate[order], index[order]
+    order = np.argsort(row << 40 | rank, kind="stable")  # the grams of a row come sorted
+    grams, estimate, index = grams[order], rank[order], index[order]
     need = np.ceil(t * size - 1e-9).astype(np.int64)
     base = size - need  # the l-prefix has base + l grams
-    # a frequent gram's list is as long as counted; that of any other has few others on average
+    # a list is as long as counted; that of a rare gram has few others on average
     sums = np.concatenate([[0.0], np.cumsum(np.where(estimate > 1, estimate, RARE_PARTNERS))])
     ls = np.arange(1, most + 1)
     ends = offsets[:-1, None] + np.minimum(base[:, None] + ls, size[:, None])
@@ -330,7 +381,7 @@ def partners(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, begin, np.where(side == 2, 0, end - begin)
 
 
-def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Copied, n: int, t: float, most: int) -> DataFrame:
+def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Copied, levels: Levels, n: int, t: float, most: int) -> DataFrame:
     """(a, b) pairs of sets, a < b, with enough shared prefix grams."""
     docs = _keyed(docs)
     buckets = parts(docs)
@@ -347,7 +398,7 @@ def candidates(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], copied: Co
                     size = np.diff(off)
                     grams = grams[np.repeat(own, size)]
                     off = np.concatenate([[0], np.cumsum(size[own])])
-                g, owner, chosen, index = prefixes(grams, off, *heavy, t, most)
+                g, owner, chosen, index = prefixes(grams, off, *heavy, levels, t, most)
                 r = np.zeros(len(g), _POSTING)
                 step = np.minimum(np.log(np.maximum(np.diff(off), 1)) / np.log(SIZE_STEP), 255).astype(np.uint8)
                 r["key"] = g if not len(label) else np.where(index >= 0, label[index], g)
@@ -535,13 +586,17 @@ class Similar:
     def __init__(self, docs: DataFrame, n: int, t: float, most: int, form: str):
         if not 0 < most < 16:
             raise ValueError("matches are demanded from 1 to 15")
-        self.table = written(census(docs, n), "census")
+        levels = Levels(parts(docs))
+        table = written(census(docs, n, levels), "counts")
+        levels.fill(table.where("blob is not null").select("bucket", "blob", "many"))
+        self.table = written(table.where("blob is null").drop("bucket", "blob", "many"), "census")
+        discard(table)
         rows = self.table.where("gram is null")
         self.count = rows.count()
         named = rows.where("set is not null").drop("gram", "c")
         self.bare = rows.where("set is null").select("doc_id")
         copied = Copied(named, self.count)
-        found = written(candidates(docs, heavy_grams(self.table, self.count, HEAVY_SHARE), copied, n, t, most), "candidates")
+        found = written(candidates(docs, heavy_grams(self.table, self.count, HEAVY_SHARE), copied, levels, n, t, most), "candidates")
         self.owners, names = _told_apart(named)
         pairs = found
         if names is not None:

@@ -555,6 +555,39 @@ def test_tiles_hold_every_pair_once():
     assert found(jaccard.tiled(r, blocks)) == found(r) == sorted((a, b) for _, a, b in want)
 
 
+def test_frequent_passages_make_no_candidates(spark, monkeypatch):
+    """A passage in a share of the documents that is too small for a frequent gram, but in many of them."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join([*(f"w{i}x{k}" for k in range(50)), passage, *(f"w{i}y{k}" for k in range(50))]) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[7] + " end"])), "doc_id bigint, text string")
+    pairs = []
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda docs, sets, found, *a: pairs.append(found.count()) or real(docs, sets, found, *a))
+    monkeypatch.setattr(jaccard, "HEAVY_SHARE", 2.0)
+    got = {r.doc_id: (r["class"], r.links) for r in jaccard.join(df).collect()}
+    assert got == {i: (i, 0) for i in range(120)} | {7: (7, 1), 120: (7, 1)}
+    assert pairs == [1]
+
+
+def test_levels_are_counts(spark):
+    rng = np.random.default_rng(5)
+    levels = jaccard.Levels(3)
+    tasks = [np.unique(rng.integers(0, 1 << 52, 5000, dtype=np.uint64), return_counts=True) for _ in range(40)]
+    often = np.sort(rng.integers(0, 1 << 52, 90, dtype=np.uint64))
+    rows = []
+    for k, (g, c) in enumerate(tasks):
+        for some, blobs, many in levels.blobs(g, c):
+            rows += zip(some, map(bytearray, blobs), many)
+        some = often[k:]  # the j-th in j + 1 tasks, but at most 40; and twice in the last
+        for some, blobs, many in levels.blobs(some, np.full(len(some), 1 + (k == 39))):
+            rows += zip(some, map(bytearray, blobs), many)
+    levels.fill(spark.createDataFrame(rows, "bucket int, blob binary, many int"))
+    level = levels.of(often)
+    want = np.minimum(np.arange(90) + 1, 40) + (np.arange(90) >= 39)
+    assert (level[1:] >= want[1:]).all() and (level[1:] == want[1:]).mean() > 0.9  # rarely do grams share a cell
+    assert np.mean([levels.of(g).mean() for g, _ in tasks]) < 0.1
+
+
 def test_keep_one_of_each_group(docs, rows, empty):
     edges = brute_pairs(rows, 0.6)
     group = {i: i for i, _ in rows if i is not None}

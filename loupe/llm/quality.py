@@ -152,14 +152,19 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
-def sampled_labels(labels: DataFrame, column: str, fit_rows: int) -> DataFrame:
-    """At most about fit_rows labelled documents, chosen by a hash of doc_id."""
-    known = (
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of each labelled document."""
+    return (
         labels.select(F.col("doc_id"), F.col(column).cast("int").alias("label"))
         .where("doc_id is not null and label is not null")
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
+
+
+def sampled_labels(labels: DataFrame, column: str, fit_rows: int) -> DataFrame:
+    """At most about fit_rows labelled documents, chosen by a hash of doc_id."""
+    known = known_labels(labels, column)
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))

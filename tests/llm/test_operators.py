@@ -239,6 +239,30 @@ def test_candidates_and_threshold_match_brute_force(spark):
     assert toxicity.threshold(df, labels) == (best if errors[best] < never else float("inf"))
 
 
+@pytest.mark.parametrize("held", [1 << 23, 5000])
+def test_toxicity_counts_all_labels(spark, held, monkeypatch):
+    """More labels than any sample had: counts and threshold are those of all of them."""
+    monkeypatch.setattr(toxicity, "HELD_LABELS", held, raising=False)
+    n = 24_001
+    rows = [(i, f"d{i} " + ("foul" if i % 4 == 0 else "fair") + (" odd" if i % 3 == 0 else "")) for i in range(n)]
+    rows += [(3, rows[3][1])] * 2 + [(n, rows[8][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(n + 1)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.candidates(docs, labels).set_index("word").odds
+    label = {t: int(i % 4 == 0) for i, t in rows[:n]} | {rows[8][1]: int(n % 4 == 0)}  # of a copied text the least label
+    bad, good = sum(label.values()), sum(1 - v for v in label.values())
+    for w in ("foul", "fair"):
+        t, c = (sum(w in x.split() and v == k for x, v in label.items()) for k in (1, 0))
+        odds = math.log((t + 0.5) / (bad - t + 0.5)) - math.log((c + 0.5) / (good - c + 0.5))
+        assert abs(got[w] - odds + 3 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) < 1e-9
+    # a threshold that depends on each label: one toxic document more than clean ones at a score
+    scores = spark.range(n).selectExpr("id as doc_id", "if(id < 12001, 1.0d, 2.0d) as score")
+    some = spark.range(n).selectExpr("id as doc_id", "1 as quality", "if(id < 12001, int(id < 6001), 1) as toxic")
+    assert toxicity.threshold(scores, some) == 1.0
+    some = spark.range(n).selectExpr("id as doc_id", "1 as quality", "if(id < 12001, int(id < 6000), 1) as toxic")
+    assert toxicity.threshold(scores, some) == 2.0
+
+
 def test_pair_counts_match_brute_force(spark, docs, rows):
     terms = ["w1", "w2", "w3", "w10", "w50", "edited", "again"]
     want = {}

@@ -319,6 +319,24 @@ def test_small_files_are_dealt_out(spark, tmp_path):
         assert spread(other) is other
 
 
+def test_texts_with_line_breaks_are_dealt_out(spark):
+    """A literal of several lines in a projection or a filter doesn't look like a node of the plan."""
+    from pyspark.sql import functions as F
+
+    from loupe import queries
+    from loupe.sources.tables import spread
+
+    folder, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    for language in queries._SOURCES:
+        df = queries.synthetic(spark, folder, language)
+        assert df.rdd.getNumPartitions() == 1 and spread(df).rdd.getNumPartitions() == cores > 1, language
+    for name in ("lang_c_comments", "custom_query_names", "join_scopes", "intersect_scopes", "lang_rust_fn_named"):
+        assert "RoundRobinPartitioning" in executed(queries.QUERIES[name](spark, folder)), name
+    df = queries.documents(spark, folder).where(~F.col("text").contains("\nSort a"))
+    assert spread(df).rdd.getNumPartitions() == cores
+    assert spread(df.orderBy("doc_id").select(F.lit("\nRelation"))).rdd.getNumPartitions() == 1
+
+
 def test_a_cluster_needs_a_shared_folder():
     from loupe.sources.tables import shared_folder
 
